@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("p1_license",)
+MODULES = ("p1_license", "p2_secrets", "p3_frequent", "p4_neardup")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
