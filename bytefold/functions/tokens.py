@@ -43,8 +43,16 @@ def merge(tokens: Column, left: int, right: int, new: int) -> Column:
     return F.replace(tokens, F.lit(token_char(left) + token_char(right)), F.lit(token_char(new)))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value computed once; inside a higher-order function an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pairs(tokens: Column) -> Column:
     """Array of (pair, off) of every adjacent pair, overlapping ones included."""
-    cs = chars(tokens)
-    at = F.when(F.size(cs) > 1, F.sequence(F.lit(1), F.size(cs) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(F.concat(F.get(cs, i - 1), F.get(cs, i)).alias("pair"), i.alias("off")))
+
+    def of(cs: Column) -> Column:
+        at = F.when(F.size(cs) > 1, F.sequence(F.lit(1), F.size(cs) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.concat(F.get(cs, i - 1), F.get(cs, i)).alias("pair"), i.alias("off")))
+
+    return bound(chars(tokens), of)
