@@ -124,7 +124,7 @@ def replay(raw: np.ndarray, starts: np.ndarray, m: Merges) -> tuple[np.ndarray,
         r = heapq.heappop(ranks)
         parts = index.pop(r)
         a, b, new = m.left[r], m.right[r], m.new[r]
-        at = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
+        at = np.unique(np.concatenate(parts) if len(parts) > 1 else parts[0])  # neighbours merged at once post a place twice
         at = at[alive[at]]
         right = nxt[at]
         ok = (ids[at] == a) & (right >= 0)
