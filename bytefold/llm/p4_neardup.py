@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..functions.tokens import bound
 from ..sources.shared import ensure_checkpoint_dir
 from .common import salted_left_join, table, words
 
@@ -27,9 +28,12 @@ BITS, BLOCK, SAMPLE, COMMON = 1024, 2048, 4096, 1 << 18
 
 def shingles(text: Column, size: int = SHINGLE) -> Column:
     """Sorted array of the hashes of the distinct runs of ``size`` words."""
-    w = words(text, "[A-Za-z0-9_]+")
-    at = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.sort_array(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))))
+
+    def of(w: Column) -> Column:
+        at = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.sort_array(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))))
+
+    return bound(words(text, "[A-Za-z0-9_]+"), of)
 
 
 def prefix_length(n: int, t: float = SIMILARITY) -> int:
@@ -128,9 +132,7 @@ def near_duplicates(files: DataFrame, key: str, text: str, t: float = SIMILARITY
     """
     spark = files.sparkSession
     ensure_checkpoint_dir(spark)
-    s = shingles(F.col(text))
     rows = files.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("_t")).withColumn("s", shingles(F.col("_t")))
-    del s
     same = F.when(F.size("s") > 0, F.concat_ws("-", F.xxhash64(F.lit(1), "s"), F.xxhash64(F.lit(2), "s"), F.size("s"))).otherwise(F.concat(F.lit("text-"), F.sha2("_t", 256)))
     rows = rows.withColumn("same", same).drop("_t").checkpoint()
     reps = rows.groupBy("same").agg(F.min("id").alias("rid"))
