@@ -23,9 +23,9 @@ from .common import table, words
 #: Share of a language's documents from which a word is a function word; squared distance (99.9 % of chi-square with as
 #: many degrees as features); least share of spam material; coverage below which a segment is no sentence; uses from which
 #: a word is a key word.
-FUNCTION_SHARE, DISTANCE, SPAM_SHARE, SENTENCE, KEY_USES = 0.15, 26.12, 0.5, 0.6, 4
-#: Features with their signs towards spam.
-FEATURES = {"link": 1, "tag": 1, "price": 1, "phrase": 1, "entropy": -1, "repeat": 1, "function": -1, "punctuation": -1}
+FUNCTION_SHARE, DISTANCE, SPAM_SHARE, SENTENCE, KEY_USES = 0.15, 26.12, 0.5, 0.7, 4
+#: Features with their signs towards spam; those of 0 tell odd documents but point nowhere by themselves.
+FEATURES = {"link": 1, "tag": 1, "price": 1, "phrase": 1, "entropy": 0, "repeat": 0, "function": -1, "punctuation": 0}
 FLOOR = 0.05  # least scale of a feature
 
 CJK = "぀-ヿ㐀-鿿豈-﫿"
