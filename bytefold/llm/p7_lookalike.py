@@ -30,6 +30,9 @@ ALIKE = dict(
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<font>"}
 SAME_LOOK_RANGES = ((0x2E80, 0x2FD5), (0xFB00, 0xFB06), (0xF900, 0xFAFF))
 KEPT_CONTROLS = "\t\n"
+#: What can't be told stable at a glance: the JVM passes only texts with such a character on. (Java tries the ranges of a
+#: long class one after the other; Python's classes are bit maps, so the precise test is made there.)
+GLANCE = r"[^\t\n\x20-\x7e]"
 
 
 def invisible(ch: str) -> bool:
@@ -63,41 +66,46 @@ def canonical(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def unstable_class() -> str:
-    """Inside of a bracket expression of the characters that the form may change or that may join the one before."""
+def segment_pattern() -> str:
+    """A run of unstable characters, which the form may change or which may join the one before, with the character before it."""
     runs: list[list[int]] = []
     for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp < 0xE000:
-            continue
         ch = chr(cp)
-        joins = unicodedata.combining(ch) or (cp > 0x7F and unicodedata.category(ch)[0] == "M") or 0x1100 <= cp <= 0x11FF
+        if (kind := unicodedata.category(ch)) in ("Cn", "Co", "Cs"):
+            continue
+        joins = kind[0] == "M" or 0x1100 <= cp <= 0x11FF
         if joins or (ch != " " and unicodedata.normalize("NFC", spelled(ch)) != ch):
             if runs and runs[-1][1] == cp - 1:
                 runs[-1][1] = cp
             else:
                 runs.append([cp, cp])
-    return "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+    inner = "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
+    return f"[^{inner}]?[{inner}]+"
 
 
-@lru_cache(maxsize=1)
-def segments() -> re.Pattern[str]:
-    """A run of unstable characters with the character before it."""
-    inner = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), unstable_class())
-    return re.compile(f"[^{inner}]?[{inner}]+", re.S)
+@lru_cache(maxsize=2)
+def compiled(pattern: str) -> re.Pattern[str]:
+    return re.compile(pattern, re.S)
+
+
+def spliced(text: str, pattern: str | None = None) -> str:
+    return compiled(pattern or segment_pattern()).sub(lambda m: canonical(m[0]), text)
 
 
-def spliced(text: str) -> str:
-    return segments().sub(lambda m: canonical(m[0]), text)
+def _spliced(text: Column) -> Column:
+    """The pattern, some thousand characters, is made once and sent along."""
+    pattern = segment_pattern()
 
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else spliced(t, pattern))
 
-@F.pandas_udf(StringType())
-def _spliced(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else spliced(t))
+    return run(text)
 
 
 def same_look(text: Column) -> Column:
     """The common form of a text. Null stays null, empty stays empty."""
-    return F.when(text.rlike(f"[{unstable_class()}]"), _spliced(text)).otherwise(text)
+    return F.when(text.rlike(GLANCE), _spliced(text)).otherwise(text)
 
 
 def alike(rows: DataFrame) -> DataFrame:
@@ -106,7 +114,7 @@ def alike(rows: DataFrame) -> DataFrame:
     Repeated rows count once, null texts are like nothing. Groups are reduced to their distinct texts first; only groups
     of several are paired, and never two equal texts.
     """
-    unsure = F.col("text").rlike(f"[{unstable_class()}]")
+    unsure = F.col("text").rlike(GLANCE)
     formed = F.when(F.col("_u"), _spliced(F.when(F.col("_u"), F.col("text")))).otherwise(F.col("text"))
     t = rows.where("text is not null").withColumn("_u", unsure)
     # The texts themselves are not shuffled, only two hashes of each; what they claim is as good as 128 bits.
