@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("p1_license", "p2_secrets", "p3_frequent", "p4_neardup", "p6_natural", "p7_lookalike", "p8_encode", "p9_pack", "p10_spam")
+MODULES = ("p1_license", "p2_secrets", "p3_frequent", "p4_neardup", "p5_handwritten", "p6_natural", "p7_lookalike", "p8_encode", "p9_pack", "p10_spam")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
