@@ -157,7 +157,11 @@ class Encoder:
     """Ids of arrays of words; keeps those of words already met, up to KEPT_WORDS."""
 
     def __init__(self, path: str) -> None:
-        self.merges, self.known = merges(path), {}
+        self.path, self.merges = path, merges(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +169,7 @@ class Encoder:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > KEPT_WORDS:
-            self.__init__(self.merges_path)
+            self.forget()
         fresh = [w for w in distinct if w not in self.known]
         if fresh:
             raw = [w.encode("utf-8") for w in fresh]
@@ -195,7 +199,6 @@ def encode(docs: DataFrame, key: str, text: str, path: str | None = None, sizes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(file)
-        encoder.merges_path = file
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
