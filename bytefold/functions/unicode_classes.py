@@ -49,3 +49,14 @@ def ranges() -> dict[str, tuple[tuple[int, int], ...]]:
 def char_class(*kinds: str) -> str:
     """Inside of a bracket expression, in the ``\\x{..}`` notation that Java and RE2 share."""
     return "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for k in kinds for a, b in ranges()[k])
+
+
+def as_class(chars: set[str]) -> str:
+    """Inside of a bracket expression of the given characters."""
+    runs: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)

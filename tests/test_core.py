@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bytefold.functions.pretokenize import pretokenize
-from bytefold.functions.unicode_classes import char_kind
+from bytefold.functions.pretokenize import java_classes, pretokenize
+from bytefold.functions.unicode_classes import char_kind, ranges
 from bytefold.operators import corpus, prune
 from bytefold.operators.tokenizer import Tokenizer, encode_chunk, encode_chunk_literally
 from bytefold.operators.train import Trainer
@@ -43,6 +43,15 @@ def test_pretokenizer_loses_nothing_and_stands_long_runs(spark):
     assert all(r.text == r.back for r in rows)
 
 
+def test_java_classes_are_the_kinds(spark):
+    """Every code point but surrogates has the kind of the Unicode database in the chunk pattern, too."""
+    every = "".join(chr(cp) for cp in range(1, 0x110000) if not 0xD800 <= cp < 0xE000)
+    kinds = {k: {chr(cp) for a, b in ranges()[k] for cp in range(a, b + 1)} - {"\0"} for k in ("LATIN_WORD", "DIGIT", "UNICODE_WORD", "SPACE")}
+    for inner, k in zip(java_classes(), kinds):
+        found = set(spark.sparkContext._jvm.java.util.regex.Pattern.compile(f"[^{inner}]+").matcher(every).replaceAll(""))
+        assert found == kinds[k]
+
+
 def test_kinds():
     assert [char_kind(c) for c in "a_5½中,+‍ªＡ "] == ["LATIN_WORD", "LATIN_WORD", "DIGIT", "DIGIT", "UNICODE_WORD", "PUNCT", "SYMBOL", "OTHER", "UNICODE_WORD", "LATIN_WORD", "SPACE"]
 
