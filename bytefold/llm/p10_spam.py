@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import ensure_checkpoint_dir
-from .common import table, words
+from .common import table
 
 #: Share of a language's documents from which a word is a function word; squared distance (99.9 % of chi-square with as
 #: many degrees as features); least share of spam material; coverage below which a segment is no sentence; uses from which
 #: a word is a key word.
-FUNCTION_SHARE, DISTANCE, SPAM_SHARE, SENTENCE, KEY_USES = 0.15, 26.12, 0.5, 0.7, 4
+FUNCTION_SHARE, DISTANCE, SPAM_SHARE, SENTENCE, KEY_USES = 0.1, 26.12, 0.5, 0.7, 4
+#: Share of function words from which, by those limits, less than half of the words can stand in segments that are no sentences.
+PLAIN = 1 - (1 - SENTENCE) * SPAM_SHARE
 #: Features with their signs towards spam; those of 0 tell odd documents but point nowhere by themselves.
 FEATURES = {"link": 1, "tag": 1, "price": 1, "phrase": 1, "entropy": 0, "repeat": 0, "function": -1, "punctuation": 0}
 FLOOR = 0.05  # least scale of a feature
@@ -41,55 +43,79 @@ CODE_LINE = re.compile(r"[;{}]\s*$|:\s*$|^\s*(?:import|from|def|class|return|con
 def function_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[str, ...]]:
     """word -> languages in whose documents it is frequent. Counts all documents with a language.
 
-    A language has at most (words of a document) / FUNCTION_SHARE such words.
+    Documents are counted within a task first, so a frequent word leaves it once; no language has more than (words of a
+    document) / FUNCTION_SHARE such words.
     """
-    labelled = docs.where(f"{text} is not null and {lang} is not null").select(F.col(lang).alias("l"), F.array_distinct(words(F.lower(text), JAVA_WORD)).alias("w"))
-    sizes = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    counts = labelled.select("l", F.explode("w").alias("w")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("c"))
-    got = counts.join(F.broadcast(sizes), "l").where(f"c >= greatest(3, {FUNCTION_SHARE} * n)").select("l", "w").collect()
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Counter[str]] = {}
+
+        def out() -> pd.DataFrame:
+            rows = [(l, w, n) for l, c in held.items() for w, n in c.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=["l", "w", "c"])
+
+        for b in batches:
+            for l, t in zip(b["l"], b["t"]):
+                c = held.setdefault(l, Counter())
+                c.update(set(WORD.findall(t.lower())))
+                c[""] += 1  # documents
+            if sum(map(len, held.values())) > 1 << 18:
+                yield out()
+        yield out()
+
+    rows = docs.where(f"{text} is not null and {lang} is not null").select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    counts = rows.mapInPandas(partial, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
+    sizes = {r.l: r.c for r in counts.where("w = ''").collect()}  # a row per language
+    if not sizes:
+        return {}
+    least = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(max(3.0, FUNCTION_SHARE * n)))])
     out: dict[str, list[str]] = {}
-    for r in got:
+    for r in counts.where(F.col("w") != "").where(F.col("c") >= F.element_at(least, F.col("l"))).select("l", "w").collect():
         out.setdefault(r.w, []).append(r.l)
     return {w: tuple(sorted(ls)) for w, ls in out.items()}
 
 
 def measure(text: str, lang: str | None, known: dict[str, tuple[str, ...]]) -> tuple[str, list[float], float]:
     """(language by function words, features, share of spam material) of a document."""
-    segments = [s for s in SEGMENT.findall(text) if s.strip()]
-    tokens = [WORD.findall(s.lower()) for s in segments]
-    counts = Counter(w for ws in tokens for w in ws)
+    counts = Counter(WORD.findall(text.lower()))
     total = sum(counts.values())
-    lines = [x for x in text.split("\n") if x.strip()]
-    code = len(lines) > 3 and sum(bool(CODE_LINE.search(x)) for x in lines) >= 0.4 * len(lines) and sum(bool(LINK.search(x)) for x in lines) < 0.5 * len(lines)
     votes: Counter[str] = Counter()
-    for w, n in counts.items():
-        for l in known.get(w, ()):
-            votes[l] += n
-    del votes["code"]
-    group = "code" if code else max(votes, key=lambda l: (votes[l], l)) if votes else (lang or "")
-    natural = {w for w in counts if group in known.get(w, ())}
-    key = {w for w, n in counts.items() if n >= KEY_USES and w not in natural and (len(w) > 2 or not w.isascii()) and not w.isdigit()}
-    chars = dict.fromkeys(("link", "tag", "price", "phrase"), 0)
-    for s, ws in zip(segments, tokens):
-        size, n = len(s.strip()), max(1, len(ws))
-        low = sum(w in natural for w in ws) < SENTENCE * n
-        if LINK.search(s):
-            chars["link"] += size
-        elif code:
-            continue
-        elif sum(map(len, HASHTAG.findall(s))) > size / 2:
-            chars["tag"] += size
-        elif low and PRICE.search(s):
-            chars["price"] += size
-        elif low and any(w in key for w in ws):
-            chars["phrase"] += size
-    size = max(1, sum(len(s.strip()) for s in segments))
-    share = {k: v / size for k, v in chars.items()}
+    for w in counts.keys() & known.keys():
+        for l in known[w]:
+            votes[l] += counts[w]
+    codes = votes.pop("code", 0)
+    group = max(votes, key=lambda l: (votes[l], l)) if votes else (lang or "")
+    function = votes[group] / max(1, total)
     entropy = -sum(n / total * math.log(n / total) for n in counts.values()) / math.log(total) if total > 1 else 1.0
-    pairs = Counter((a, b) for ws in tokens for a, b in zip(ws, ws[1:]))
-    repeat = 1 - len(pairs) / max(1, sum(pairs.values()))
-    punctuation = min(1.0, sum(text.count(c) for c in ".!?。！？,，") * 10 / len(text))
-    return group, [share["link"], share["tag"], share["price"], share["phrase"], entropy, repeat, sum(counts[w] for w in natural) / max(1, total), punctuation], sum(share.values())
+    punctuation = min(1.0, sum(map(text.count, ".!?。！？,，")) * 10 / len(text))
+    share = dict.fromkeys(("link", "tag", "price", "phrase"), 0.0)
+    if function < PLAIN or "://" in text or "#" in text or LINK.search(text):
+        lines = [x for x in text.split("\n") if x.strip()]
+        if code := function < PLAIN and len(lines) > 3 and sum(bool(CODE_LINE.search(x)) for x in lines) >= 0.4 * len(lines) and sum(bool(LINK.search(x)) for x in lines) < 0.5 * len(lines):
+            group, function = "code", codes / max(1, total)
+        natural = {w for w in counts if group in known.get(w, ())}
+        key = {w for w, n in counts.items() if n >= KEY_USES and w not in natural and (len(w) > 2 or not w.isascii()) and not w.isdigit()}
+        size = 0
+        for s in SEGMENT.findall(text):
+            if not (n := len(s.strip())):
+                continue
+            size += n
+            if LINK.search(s):
+                share["link"] += n
+            elif code:
+                continue
+            elif "#" in s and sum(map(len, HASHTAG.findall(s))) > n / 2:
+                share["tag"] += n
+            else:
+                ws = WORD.findall(s.lower())
+                if sum(w in natural for w in ws) < SENTENCE * max(1, len(ws)):
+                    if PRICE.search(s):
+                        share["price"] += n
+                    elif any(w in key for w in ws):
+                        share["phrase"] += n
+        share = {k: v / max(1, size) for k, v in share.items()}
+    return group, [*share.values(), entropy, 1 - len(counts) / max(1, total), function, punctuation], sum(share.values())
 
 
 def spam(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
