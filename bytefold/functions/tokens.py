@@ -56,3 +56,12 @@ def pairs(tokens: Column) -> Column:
         return F.transform(at, lambda i: F.struct(F.concat(F.get(cs, i - 1), F.get(cs, i)).alias("pair"), i.alias("off")))
 
     return bound(chars(tokens), of)
+
+
+def pack_pair(left: Column, right: Column) -> Column:
+    """One 64-bit key of a pair of ids."""
+    return F.shiftleft(left.cast("long"), 32).bitwiseOR(right.cast("long"))
+
+
+def unpack_pair(key: Column) -> tuple[Column, Column]:
+    return F.shiftright(key, 32).cast("int"), key.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")

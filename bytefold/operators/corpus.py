@@ -56,3 +56,8 @@ def exposure(state: DataFrame) -> DataFrame:
     """(token_id, exposure) of the tokens now standing in the corpus."""
     rows = state.select("freq", F.explode(T.chars(F.col("tokens"))).alias("c"))
     return rows.groupBy("c").agg(F.sum("freq").alias("exposure")).select(T.char_id(F.col("c")).alias("token_id"), "exposure")
+
+
+def merge_corpus(state: DataFrame, left: int, right: int, new: int) -> DataFrame:
+    """The state with a pair merged everywhere, left to right without overlap: a narrow projection."""
+    return state.withColumn("tokens", T.merge(state["tokens"], left, right, new))

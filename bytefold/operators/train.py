@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import tokens as T
 from ..sources import checkpoint as ckpt
 from ..sources.shared import ensure_checkpoint_dir
 from . import corpus, prune
@@ -33,7 +32,8 @@ class Trainer:
 
     The sizes include the 256 bytes and exclude specials. ``whole`` merges within whole texts instead of chunks.
     The driver holds one row per merge, which the vocabulary size bounds; the corpus stays in Spark. Lineage is cut by a
-    reliable checkpoint every ``cut_every`` merges.
+    reliable checkpoint every ``cut_every`` merges. ``partitions`` spreads the distinct chunks evenly over so many tasks;
+    the result does not depend on it.
     """
 
     spark: SparkSession
@@ -42,6 +42,7 @@ class Trainer:
     min_exposure_count: int = 2
     whole: bool = False
     cut_every: int = 16
+    partitions: int | None = None
     merges: list[Merge] = field(default_factory=list)
     state: DataFrame | None = None
     metrics: list[dict] = field(default_factory=list)
@@ -51,6 +52,8 @@ class Trainer:
             raise ValueError("a vocabulary holds at least the 256 bytes")
         if self.train_vocab_size < self.visible_vocab_size:
             raise ValueError("train_vocab_size must be at least visible_vocab_size")
+        if self.partitions is not None and self.partitions < 1:
+            raise ValueError("partitions must be at least 1")
 
     @property
     def next_id(self) -> int:
@@ -76,6 +79,8 @@ class Trainer:
             chunks = corpus.chunk_rows(texts, order, text, self.whole)
         if chunks is not None:
             self.merges, self.state = [], corpus.tokenised(corpus.unique_chunks(chunks))
+            if self.partitions is not None:
+                self.state = self.state.repartition(self.partitions)
         elif self.state is None:
             raise ValueError("there is no corpus to go on from")
         sizes, done = set(checkpoint_vocab_sizes), 0
@@ -89,7 +94,7 @@ class Trainer:
             left, right, n = best[0]
             new = self.next_id
             self.merges.append(Merge(new, left, right, n))
-            self.state = self.state.withColumn("tokens", T.merge(self.state["tokens"], left, right, new))
+            self.state = corpus.merge_corpus(self.state, left, right, new)
             done += 1
             if done % self.cut_every == 0:
                 self.state = self._keep(self.state)
@@ -99,6 +104,16 @@ class Trainer:
                 self.save_checkpoint(f"{checkpoint_dir or '.'}/checkpoint_vocab_{self.next_id}")
         return self
 
+    def metrics_table(self) -> DataFrame:
+        """(token_id, n, seconds, tokens_per_hour) of the merges made by this trainer."""
+        rows = [(m["token_id"], m["n"], m["seconds"], 3600 / max(m["seconds"], 1e-9)) for m in self.metrics]
+        return self.spark.createDataFrame(rows, "token_id int, n long, seconds double, tokens_per_hour double")
+
+    def close(self) -> None:
+        """Lets the cached corpus go."""
+        if (kept := getattr(self, "_kept", None)) is not None:
+            kept.unpersist()
+
     def exposure(self) -> DataFrame:
         return corpus.exposure(self.state)
 

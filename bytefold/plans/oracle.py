@@ -109,5 +109,8 @@ def oracles() -> dict[str, str]:
         "load_items": r"""WITH f AS (SELECT file_id, suffix, nfc_normalize(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '^' || chr(65279), '')) AS t FROM corpus_file WHERE content IS NOT NULL),
 l AS (SELECT file_id, CASE WHEN suffix = '.txt' THEN list_filter(list_transform(regexp_extract_all(t, '[^\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]*[\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]|[^\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]+'), lambda x: rtrim(x, chr(10))), lambda x: x <> '' AND x <> '===') ELSE [t] END AS l FROM f)
 SELECT file_id, unnest(range(len(l)))::INT AS line_no, unnest(l) AS text FROM l""",
+        "encode_items": f"{encode('(SELECT DISTINCT item_ord, text FROM text_item)', 'item_ord')} SELECT item_ord, coalesce(s, '') AS ids FROM text_item LEFT JOIN texts ON key = item_ord",
+        "compression_by_source": f"{encode('(SELECT DISTINCT item_ord, text FROM text_item)', 'item_ord')} SELECT source_id, sum(coalesce(octet_length(encode(text)), 0))::BIGINT AS n_bytes, sum(CASE WHEN s IS NULL THEN 0 ELSE len(string_split(s, ',')) END)::BIGINT AS n_tokens FROM text_item LEFT JOIN texts ON key = item_ord GROUP BY source_id",
+        "merge_count_pairs": "SELECT (left_id::BIGINT << 32) | right_id AS pair_key, left_id, right_id, sum(n)::BIGINT AS n FROM merge_count WHERE n IS NOT NULL GROUP BY left_id, right_id",
         "encode_documents": f"{encode('documents', 'doc_id')} SELECT doc_id, coalesce(s, '') AS ids FROM documents LEFT JOIN texts ON key = doc_id",
     }

@@ -162,4 +162,11 @@ def load_items(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.split("path", "/")[0].cast("long").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), "text")
 
 
-QUERIES = {f.__name__: f for f in (pretok_documents, pretok_items, chunk_stats_by_source, char_kind_histogram, unique_chunks, byte_histogram, pair_counts_round0, best_pair_round0, bpe_train_16, token_exposure, prune_visibility, vocab_export, inter_vocab_export, encode_documents, encode_items, encode_special_items, decode_roundtrip, compression_by_source, vanilla_train_8, visible_fill, load_items)}
+def merge_count_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Final aggregation of the pair counts reported by shards, under packed keys. Null counts count nothing."""
+    rows = table(spark, sf, "merge_count").where("n is not null").withColumn("pair_key", T.pack_pair(F.col("left_id"), F.col("right_id")))
+    left, right = T.unpack_pair(F.col("pair_key"))
+    return rows.groupBy("pair_key").agg(F.sum("n").alias("n")).select("pair_key", left.alias("left_id"), right.alias("right_id"), "n")
+
+
+QUERIES = {f.__name__: f for f in (pretok_documents, pretok_items, chunk_stats_by_source, char_kind_histogram, unique_chunks, byte_histogram, pair_counts_round0, best_pair_round0, bpe_train_16, token_exposure, prune_visibility, vocab_export, inter_vocab_export, encode_documents, encode_items, encode_special_items, decode_roundtrip, compression_by_source, vanilla_train_8, visible_fill, load_items, merge_count_pairs)}
