@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import ensure_checkpoint_dir
 from .common import salted_left_join, table
 
 SOURCE_SUFFIXES = (".py", ".js", ".mjs", ".cjs", ".ts", ".java", ".cpp")
@@ -133,6 +134,9 @@ def licenses_of(files: DataFrame, repos: DataFrame, licenses: DataFrame) -> Data
     f = f.withColumn("kind", kind).where("kind is not null").withColumn("text", text).drop("content")
     # Only the part that states something is kept, under its hash.
     f = f.withColumn("h_text", F.xxhash64(normal(F.col("text"))))
+    # Five uses follow; the contents, which are most of the input, are read once.
+    ensure_checkpoint_dir(files.sparkSession)
+    f = f.checkpoint()
     distinct = f.where("text is not null").groupBy("h_text").agg(F.first("text").alias("text"))
     said = statements(distinct, licenses)
     f = salted_left_join(f.drop("text"), said, "h_text", "file_id")
