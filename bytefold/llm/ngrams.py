@@ -37,7 +37,7 @@ def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
     """Sparse rows with the bias in front."""
     sizes = np.fromiter((len(i) + 1 for i, _ in parts), np.int64, len(parts))
     ptr = np.concatenate([[0], np.cumsum(sizes)])
-    one_i, one_v = np.zeros(1, np.int64), np.ones(1, np.float32)
+    one_i, one_v = np.zeros(1, np.int32), np.ones(1, np.float32)
     idx = np.concatenate([x for i, _ in parts for x in (one_i, i)]) if parts else np.zeros(0, np.int64)
     val = np.concatenate([x for _, v in parts for x in (one_v, v)]) if parts else np.zeros(0, np.float32)
     return Rows(ptr, idx, val.astype(np.float32))

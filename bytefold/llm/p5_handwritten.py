@@ -112,11 +112,11 @@ def train(files: DataFrame) -> tuple[np.ndarray, list[float]]:
                 kinds, none = marks(path or "", content)
                 if kinds or none:
                     i, v = features(path or "", content)
-                    out.append((0 if pd.isna(repo) else int(repo), sum(1 << k for k, x in enumerate(KINDS) if x in kinds), i.astype(np.int32), v))
+                    out.append((0 if pd.isna(repo) else int(repo), sum(1 << k for k, x in enumerate(KINDS) if x in kinds), i.astype(np.int32).tobytes(), v.tobytes()))
             yield pd.DataFrame(out, columns=["repo", "kinds", "i", "v"])
 
-    got = sample.select("repo_id", "path", "content").mapInPandas(run, "repo long, kinds int, i array<int>, v array<float>").toPandas()
-    rows: Rows = ngrams.rows([(np.asarray(i, np.int64), np.asarray(v, np.float32)) for i, v in zip(got["i"], got["v"])])
+    got = sample.select("repo_id", "path", "content").mapInPandas(run, "repo long, kinds int, i binary, v binary").toPandas()  # packed, eight bytes a feature
+    rows: Rows = ngrams.rows([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got["i"], got["v"])])
     held = (got["repo"].to_numpy(np.int64) % 5 == 0) if len(got) else np.zeros(0, bool)
     kinds = got["kinds"].to_numpy(np.int64) if len(got) else np.zeros(0, np.int64)
     columns, limits = [], []
