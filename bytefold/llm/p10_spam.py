@@ -76,25 +76,45 @@ def function_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> d
     return {w: tuple(sorted(ls)) for w, ls in out.items()}
 
 
-def measure(text: str, lang: str | None, known: dict[str, tuple[str, ...]]) -> tuple[str, list[float], float]:
+class Known:
+    """Function words with the number of their set of languages; there are few such sets."""
+
+    def __init__(self, words: dict[str, tuple[str, ...]]) -> None:
+        self.sets = sorted(set(map(tuple, words.values())))
+        number = {s: k for k, s in enumerate(self.sets)}
+        self.set_of = {w: number[tuple(s)] for w, s in words.items()}
+        self.words = {l: {w for w, s in words.items() if l in s} for s in self.sets for l in s}
+
+
+#: n log n of small counts.
+N_LOG_N = [0.0, *(n * math.log(n) for n in range(1, 1 << 12))]
+
+
+def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float], float]:
     """(language by function words, features, share of spam material) of a document."""
     counts = Counter(WORD.findall(text.lower()))
     total = sum(counts.values())
+    by_set = [0] * len(known.sets)
+    for w in counts.keys() & known.set_of.keys():
+        by_set[known.set_of[w]] += counts[w]
     votes: Counter[str] = Counter()
-    for w in counts.keys() & known.keys():
-        for l in known[w]:
-            votes[l] += counts[w]
+    for n, langs in zip(by_set, known.sets):
+        if n:
+            for l in langs:
+                votes[l] += n
     codes = votes.pop("code", 0)
     group = max(votes, key=lambda l: (votes[l], l)) if votes else (lang or "")
     function = votes[group] / max(1, total)
-    entropy = -sum(n / total * math.log(n / total) for n in counts.values()) / math.log(total) if total > 1 else 1.0
+    most = max(counts.values(), default=0)
+    n_log_n = sum(map(N_LOG_N.__getitem__, counts.values())) if most < len(N_LOG_N) else sum(n * math.log(n) for n in counts.values())
+    entropy = 1 - n_log_n / (total * math.log(total)) if total > 1 else 1.0
     punctuation = min(1.0, sum(map(text.count, ".!?。！？,，")) * 10 / len(text))
     share = dict.fromkeys(("link", "tag", "price", "phrase"), 0.0)
     if function < PLAIN or "://" in text or "#" in text or LINK.search(text):
         lines = [x for x in text.split("\n") if x.strip()]
         if code := function < PLAIN and len(lines) > 3 and sum(bool(CODE_LINE.search(x)) for x in lines) >= 0.4 * len(lines) and sum(bool(LINK.search(x)) for x in lines) < 0.5 * len(lines):
             group, function = "code", codes / max(1, total)
-        natural = {w for w in counts if group in known.get(w, ())}
+        natural = counts.keys() & known.words.get(group, set())
         key = {w for w, n in counts.items() if n >= KEY_USES and w not in natural and (len(w) > 2 or not w.isascii()) and not w.isdigit()}
         size = 0
         for s in SEGMENT.findall(text):
@@ -123,7 +143,7 @@ def spam(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
 
     Every document is measured whole, and the statistics cover all documents of a language.
     """
-    known = function_words(docs, text, lang)
+    known = Known(function_words(docs, text, lang))
     names = list(FEATURES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
