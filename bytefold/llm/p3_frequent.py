@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import ensure_checkpoint_dir
 from .common import table
 
 #: Cells in a row of the sketch (a power of two), rows, candidates kept in a heap, rows summed before they leave a task.
@@ -77,15 +79,20 @@ def sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(field, item, n) of a partition's heaps, and a row with null item for each field's total."""
+def sketch(batches: Iterator[pd.DataFrame], share: float = SHARE) -> Iterator[pd.DataFrame]:
+    """(field, item, n) of a partition's heaps, and a row with null item for each field's total.
+
+    Candidates below the share of the partition's own total are below that of the whole, too, and stay behind, so a
+    partition gives at most about 1/share items of a field.
+    """
     sketches: dict[str, HeavySketch] = {}
     for b in batches:
         for field, part in b.groupby("field"):
             part = part.groupby("h", sort=False).agg(item=("item", "first"), w=("w", "sum"))
             sketches.setdefault(field, HeavySketch()).update(part.index.to_numpy().astype(np.int64).view(np.uint64), part["item"].to_numpy(object), part["w"].to_numpy(np.int64))
     for field, s in sketches.items():
-        yield pd.DataFrame({"field": field, "item": [None, *s.items], "n": [s.total, *s.counts]})
+        heavy = s.counts >= share * s.total
+        yield pd.DataFrame({"field": field, "item": [None, *s.items[heavy]], "n": [s.total, *s.counts[heavy]]})
 
 
 def weighted(columns: dict[str, tuple[DataFrame, object, object]]) -> DataFrame:
@@ -104,16 +111,16 @@ def frequent(columns: dict[str, tuple[DataFrame, object, object]], share: float
     underestimated, so it can't be missed. Ties all come out; a field without rows gives none.
     """
     rows = weighted(columns)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heaps = rows.mapInArrow(sum_batches, "field string, item string, h long, w long").repartition(parts, "h").mapInPandas(sketch, "field string, item string, n long")
-    kept = heaps.groupBy("field", "item").agg(F.sum("n").alias("n")).collect()  # at most HEAP items a partition and field, cut next
-    totals = {r.field: r.n for r in kept if r["item"] is None}
-    heavy = [(r.field, r["item"]) for r in kept if r["item"] is not None and r.n >= share * totals[r.field]]  # at most about 1/share a field
     spark = rows.sparkSession
-    wanted = spark.createDataFrame(heavy, "field string, item string")
-    exact = rows.join(F.broadcast(wanted), ["field", "item"]).groupBy("field", "item").agg(F.sum("w").alias("n"))
-    total = spark.createDataFrame(list(totals.items()), "field string, total long")
-    return exact.join(F.broadcast(total), "field").where(F.col("n") >= share * F.col("total"))
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    summed = rows.mapInArrow(sum_batches, "field string, item string, h long, w long").repartition(parts, "h")
+    heaps = summed.mapInPandas(partial(sketch, share=share), "field string, item string, n long").checkpoint()  # a few hundred rows a partition
+    total = heaps.where("item is null").groupBy("field").agg(F.sum("n").alias("total"))  # a row per field
+    wanted = heaps.where("item is not null").join(F.broadcast(total), "field").where(F.col("n") >= share * F.col("total")).select("field", "item", "total")
+    # At most about 1/share items a field pass, so they may be broadcast.
+    exact = rows.join(F.broadcast(wanted), ["field", "item"]).groupBy("field", "item").agg(F.sum("w").alias("n"), F.first("total").alias("total"))
+    return exact.where(F.col("n") >= share * F.col("total")).select("field", "item", "n", "total")
 
 
 def _columns(spark: SparkSession, sf: str) -> dict:
