@@ -21,7 +21,7 @@ CONFLICT, UNKNOWN = "conflict", "unknown"
 #: Words that must stand shortly before a name (or right after it) to make it a statement, and marks of terms (fixed values).
 CONTEXT = ("license", "licensed", "identifier", "under", "lizenz", "licence", "terms", "условиях", "按", "of", "or", "released", "distributed", "available", "offered", "unter", "sous")
 AFTER = ("license", "许可证发布", "许可证")
-TERMS = r"(?i)licen[cs]e|licensed|spdx|lizenz|лиценз|许可|terms\b|as it stands|hand(ing)? on|outside the house|asks the author|free for|confidential|proprietary|may not be|nothing else is agreed|permission"
+TERMS = r"(?i)licen[cs]e|licensed|spdx|lizenz|лиценз|许可|terms\b|as it stands|hand(ing)? on|outside the house|asks the author|free for|confidential|proprietary|may not be|nothing else is agreed|permission|governed by|agreement\b"
 MARKS = TERMS + r"|copyright|©|\(c\)"
 COPYRIGHT = r"""(?im)^[\s*#/!"'﻿]*(?:(?:copyright|©|\(c\))[\s(c)©]*)+\d{4}[^\n]*$|^[\s*#/!"']*(?:all rights reserved|all rights not granted here are reserved)\.?[ \t]*$"""
 HASH_COMMENTS = r"""(?m)(?:^[ \t]*#[^\n]*\n?)++|^[ \t]*(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')|^__license__\s*=[^\n]*"""

@@ -28,7 +28,7 @@ KINDS = ("generated", "minified", "vendored", "data")
 SUFFIXES = (".js", ".mjs", ".cjs")
 
 LEADING = re.compile(r"\A﻿?(?:#![^\n]*\n)?(?:\s*(?:/\*(?!\*{5}/)[\s\S]*?\*/|//[^\n]*(?:\n|\Z)))+")
-TOOL = re.compile(r"(?im)@generated\b|^\W*(?:this (?:file|code|module) (?:was|is|has been) )?(?:auto[- ]?generated|code generated|generated|created automatically|automatically (?:created|generated)|produced automatically)\b[^\n]{0,40}\b(?:by|with|from)\b|automatisch (?:erzeugt|generiert|erstellt)|(?:自动生成|自動生成|自动產生)|générée? automatiquement|(?:generad|gerad)[oa] (?:automáticamente|automaticamente)|автоматически (?:созда|сгенер)|сгенерирован[оа]? автоматически|luotu automaattisesti")
+TOOL = re.compile(r"(?im)@generated\b|^\W*(?:this (?:file|code|module) (?:was|is|has been) )?(?:auto[- ]?generated|code generated|generated|created automatically|automatically (?:created|generated)|produced(?: automatically)?)\b[^\n]{0,40}\b(?:by|with|from)\b|automatisch (?:erzeugt|generiert|erstellt)|(?:自动生成|自動生成|自动產生)|générée? automatiquement|(?:generad|gerad)[oa] (?:automáticamente|automaticamente)|автоматически (?:созда|сгенер)|сгенерирован[оа]? автоматически|luotu automaattisesti")
 OUTPUT = re.compile(r"//[#@] sourceMappingURL=|__webpack_|/\*{6}/ |this && this\.__\w+|jspb\.Message|this\.\$ = \$\$\[|\$root\.\w+ = \(function|Object\.defineProperty\(exports, \"__esModule\"")
 BANNER = re.compile(r"(?i)/\*!?[\s*]*(?:@file\s+)?[\w.@/-]+[ \t]+v?\d+\.\d+(?:\.\d+)?\b|@version\s+v?\d+\.\d+|\(c\) the [\w.-]+ authors")
 PACKAGES = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|third[_-]?party|3rd[_-]?party|vendor)/", re.I)
