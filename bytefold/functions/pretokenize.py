@@ -38,7 +38,8 @@ def java_classes() -> tuple[str, str, str, str]:
 def pattern() -> str:
     """Chunk pattern. Possessive groups keep Java's matcher from recursing on runs of any length."""
     lat, dig, uni, spc = java_classes()
-    word = "|".join((rf"[{lat}](?:[{APOSTROPHES}]?[{lat}{dig}])*+", rf"[{dig}](?:[.\-]?[{dig}])*+", rf"[{uni}]++", rf"\.[{lat}][{lat}{dig}]*+"))
+    # Runs are loops over one class, which Java makes without a group; a group is entered for a connector only.
+    word = "|".join((rf"[{lat}][{lat}{dig}]*+(?:[{APOSTROPHES}][{lat}{dig}]++)*+", rf"[{dig}]++(?:[.\-][{dig}]++)*+", rf"[{uni}]++", rf"\.[{lat}][{lat}{dig}]*+"))
     return rf"(?s) (?:{word})|[{spc}]++|</|{word}|(.)\1*+"
 
 

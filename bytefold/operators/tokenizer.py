@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import heapq
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from ..functions.pretokenize import pretokenize, split_specials
 from ..sources.vocab import Vocab
 
 #: Up to so many merges a fold of ``replace`` in the JVM beats the trip to Python; it may only be used in rank order.
-FOLD_LIMIT = 64
+FOLD_LIMIT = 4
+#: Distinct chunks whose ids a task keeps.
+KEPT_CHUNKS = 1 << 19
 
 
 def encode_chunk(raw: bytes, merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -85,27 +89,34 @@ class Tokenizer:
         return ids
 
     def _python(self, parts: Column, specials: dict[str, int]) -> Column:
-        """Ids of an array of chunk arrays; a chunk array holding just a special is that special."""
+        """Ids of an array of chunks in Arrow batches, each distinct chunk of a task encoded once; a special is itself."""
         table, expansion = self.table, self.expansion
         step = encode_chunk if self.ordered else encode_chunk_literally
-
-        @F.pandas_udf("array<int>")
-        def run(batch: pd.Series) -> pd.Series:
-            @lru_cache(maxsize=1 << 18)
-            def one(chunk: str) -> list[int]:
-                return [x for t in step(chunk.encode(), table) for x in expansion.get(t, (t,))]
-
-            def ids(groups: list[list[str]] | None) -> list[int]:
-                out: list[int] = []
-                for group in groups if groups is not None else ():
-                    if len(group) == 1 and group[0] in specials:
-                        out.append(specials[group[0]])
-                    else:
-                        for chunk in group:
-                            out += one(chunk)
-                return out
-
-            return batch.map(ids)
+        known: dict[str, np.ndarray] = {}
+
+        def one(chunk: str) -> np.ndarray:
+            if chunk in specials:
+                return np.array([specials[chunk]], np.int32)
+            return np.array([x for t in step(chunk.encode(), table) for x in expansion.get(t, (t,))], np.int32)
+
+        @F.arrow_udf("array<int>")
+        def run(batch: pa.Array) -> pa.Array:
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy())])
+            coded = batch.flatten().dictionary_encode()
+            if len(known) > KEPT_CHUNKS:
+                known.clear()
+            distinct = coded.dictionary.to_pylist()
+            for c in distinct:
+                if c not in known:
+                    known[c] = one(c)
+            ids = [known[c] for c in distinct]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            begins, flat = np.cumsum(sizes) - sizes, np.concatenate([*ids, np.zeros(0, np.int32)])
+            which = coded.indices.to_numpy()
+            length = sizes[which]
+            ends = np.concatenate([[0], np.cumsum(length)])
+            out = flat[np.repeat(begins[which] - ends[:-1], length) + np.arange(ends[-1])]
+            return pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(out, pa.int32()))
 
         return run(parts)
 
@@ -115,10 +126,11 @@ class Tokenizer:
         if encode_special_tokens and self.vocab.specials:
             names = self.vocab.specials
             parts = split_specials(text, list(names))
-            return self._python(F.transform(parts, lambda p: F.when(p.isin(*names), F.array(p)).otherwise(cut(p))), names)
+            # A plain part never gives a special as a chunk: the split took all of them out.
+            return self._python(F.flatten(F.transform(parts, lambda p: F.when(p.isin(*names), F.array(p)).otherwise(cut(p)))), names)
         if self.ordered and len(self.table) <= FOLD_LIMIT:
             return self._fold(cut(text))
-        return self._python(F.array(cut(text)), {})
+        return self._python(cut(text), {})
 
     def decode(self, ids: Column, skip_special_tokens: bool = True) -> Column:
         """Text of an array of ids, malformed UTF-8 replaced. Null and empty arrays give an empty text; unknown ids raise."""
