@@ -76,10 +76,10 @@ def entry_states(maps: list[list[int]]) -> list[int]:
 
 
 def cuts(text: str, size: int) -> list[int]:
-    """Ends of the chunks of a text: after ``size`` characters, moved on to where no quote or backslash touches the cut."""
+    """Ends of the chunks of a text: after ``size`` characters, moved on to where no quote or backslash is near the cut."""
     out, at = [], size
     while at < len(text):
-        while at < len(text) and (text[at - 1] in "'\"\\" or text[at] in "'\"\\"):
+        while at < len(text) and any(c in "'\"\\" for c in text[at - 1 : at + 2]):
             at += 1
         if at < len(text):
             out.append(at)
@@ -108,28 +108,45 @@ def stitched(pieces: list[tuple[int, int, int, int]]) -> list[tuple[int, int, in
     return [tuple(x) for x in out]
 
 
-def joined_comments(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
-    """(kind, start, line_no, content): adjacent comment-only lines as one, literals without quotes."""
-    out: list[tuple[int, int, int, str]] = []
-    line, at, last = 1, 0, -9  # last: line of the last comment-only line
-    for kind, a, b in spans:
-        line += text.count("\n", at, a)
-        at = a
+def is_raw(text: str, a: int) -> bool:
+    return "r" in PREFIX.search(text, max(0, a - 2), a)[0].lower()
+
+
+def stands_alone(text: str, a: int, blank: bool = True) -> bool:
+    """Whether only blanks stand before place ``a`` in its line; ``blank`` says so of what came before the text."""
+    line = text.rfind("\n", 0, a) + 1
+    return not text[line:a].strip(" \t\f\r﻿") and (line > 0 or blank)
+
+
+def joined(spans: list[tuple[int, int, str, bool, bool]]) -> list[tuple[int, str]]:
+    """(line_no, content) of spans (kind, line_no, text with its marks, alone, raw): adjacent comment-only lines as one,
+    literals without quotes."""
+    out: list[tuple[int, str]] = []
+    last = -9  # line of the last comment-only line
+    for kind, line, t, alone, raw in spans:
         if kind == COMMENT:
-            body = text[a + 1 : b]
-            only = not text[text.rfind("\n", 0, a) + 1 : a].strip(" \t\f﻿")
-            if only and last == line - 1 and out and out[-1][0] == COMMENT:
-                out[-1] = (*out[-1][:3], out[-1][3] + "\n" + body)
+            if alone and last == line - 1:
+                out[-1] = (out[-1][0], out[-1][1] + "\n" + t[1:])
             else:
-                out.append((COMMENT, a, line, body))
-            last = line if only else -9
+                out.append((line, t[1:]))
+            last = line if alone else -9
         else:
             q = 3 if kind in (TRIPLE_S, TRIPLE_D) else 1
-            raw = "r" in PREFIX.search(text, max(0, a - 2), a)[0].lower()
-            out.append((kind, a, line, text[a + q : b - q] if raw else unescaped(text[a + q : b - q])))
+            out.append((line, t[q:-q] if raw else unescaped(t[q:-q])))
+            last = -9
     return out
 
 
+def contents(text: str, size: int = CHUNK) -> list[tuple[int, str]]:
+    """(line_no, content) of the comments and literals of a file."""
+    found, line, at = [], 1, 0
+    for kind, a, b in spans_of(text, size):
+        line += text.count("\n", at, a)
+        at = a
+        found.append((kind, line, text[a:b], kind == COMMENT and stands_alone(text, a), kind != COMMENT and is_raw(text, a)))
+    return joined(found)
+
+
 ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})|(\n)|(.))", re.S)
 
 
@@ -185,7 +202,7 @@ def train(files: DataFrame, documents: DataFrame) -> tuple[np.ndarray, list[str]
         for b in batches:
             out = []
             for text in b["content"]:
-                for kind, _, _, content in joined_comments(text, spans_of(text)):
+                for _, content in contents(text):
                     if (t := prose(content)) is not None and (coded(t) or NOTICE.search(content)):
                         out.append(t[:2000])
             yield pd.DataFrame({"t": out}, dtype="object")
@@ -234,7 +251,7 @@ def find(files: DataFrame, documents: DataFrame, size: int = CHUNK) -> DataFrame
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield label([(i, line, c) for i, text in zip(b["file_id"], b["content"]) for _, _, line, c in joined_comments(text, spans_of(text))])
+            yield label([(i, line, c) for i, text in zip(b["file_id"], b["content"]) for line, c in contents(text)])
 
     out = "file_id long, line_no long, lang string"
     small = files.where(F.length("content") <= size).mapInPandas(whole, out)
@@ -242,67 +259,63 @@ def find(files: DataFrame, documents: DataFrame, size: int = CHUNK) -> DataFrame
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"file_id": b["file_id"], "n": b["n"], "m": [transition(t) for t in b["content"]], "lines": [t.count("\n") for t in b["content"]]})
+            tails = [t.rpartition("\n") for t in b["content"]]
+            yield pd.DataFrame({"file_id": b["file_id"], "n": b["n"], "m": [transition(t) for t in b["content"]], "lines": [t.count("\n") for t in b["content"]], "ends": [bool(x[1]) for x in tails], "blank": [not x[2].strip(" \t\f\r﻿") for x in tails]})
 
     def prefix(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("n")
-        return pd.DataFrame({"file_id": g["file_id"], "n": g["n"], "state": entry_states([list(m) for m in g["m"]]), "line": (g["lines"].cumsum() - g["lines"]).astype("int64")})
+        blank, before = [], True
+        for ends, rest in zip(g["ends"], g["blank"]):
+            blank.append(before)
+            before = rest and (ends or before)
+        return pd.DataFrame({"file_id": g["file_id"], "n": g["n"], "state": entry_states([list(m) for m in g["m"]]), "line": (g["lines"].cumsum() - g["lines"] + 1).astype("int64"), "blank": blank})
 
-    # Six numbers a chunk come together for each file.
-    states = parts.mapInPandas(maps, "file_id long, n int, m array<int>, lines long").groupBy("file_id").applyInPandas(prefix, "file_id long, n int, state int, line long")
+    # A few numbers a chunk come together for each file.
+    states = parts.mapInPandas(maps, "file_id long, n int, m array<int>, lines long, ends boolean, blank boolean").groupBy("file_id").applyInPandas(prefix, "file_id long, n int, state int, line long, blank boolean")
 
     def lexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Spans inside a chunk as contents; those at its borders, which may go on, as pieces."""
+        """Contents of what is settled inside a chunk (kind 0), and the pieces at its borders that may go on in another."""
         for b in batches:
             done = []
-            for i, n, text, state, line in zip(b["file_id"], b["n"], b["content"], b["state"], b["line"]):
-                pieces = lex(text, state)[1]
-                first = text.find("\n")
-                last = text.rfind("\n")
-                # Whatever touches the first or last two lines may join a neighbour's comment or literal.
-                edge = [k for k, (_, a, e, o) in enumerate(pieces) if o or a <= first or e > last or text.count("\n", e) < 2 or text.count("\n", 0, a) < 2]
-                while edge and edge[-1] - 1 not in edge and edge[-1] > 0 and pieces[edge[-1]][0] == COMMENT == pieces[edge[-1] - 1][0] and edge[-1] > len(pieces) // 2:
-                    edge.append(edge[-1] - 1)  # a run of comment lines goes along as a whole
-                inner = sorted(set(range(len(pieces))) - set(edge))
-                for _, _, at, c in joined_comments(text, [pieces[k][:3] for k in inner]):
-                    done.append((i, n, line + at, 0, c, 0))
-                for k in sorted(edge):
-                    kind, a, e, o = pieces[k]
-                    only = kind == COMMENT and not text[text.rfind("\n", 0, a) + 1 : a].strip(" \t\f﻿") and ("\n" in text[:a] or n == 0 or True)
-                    done.append((i, n, line + 1 + text.count("\n", 0, a), kind, text[a:e], o | 4 * only))
-            yield pd.DataFrame(done, columns=["file_id", "n", "line", "kind", "t", "o"])
-
-    pieces = parts.join(states.hint("shuffle_hash"), ["file_id", "n"]).mapInPandas(lexed, "file_id long, n int, line long, kind int, t string, o int")
+            for i, n, text, state, line, blank in zip(b["file_id"], b["n"], b["content"], b["state"], b["line"], b["blank"]):
+                found, opens, at, no = [], [], 0, 0
+                for kind, a, e, o in lex(text, state)[1]:
+                    no += text.count("\n", at, a)
+                    at = a
+                    found.append((kind, no, text[a:e], kind == COMMENT and not o & 1 and stands_alone(text, a, blank), kind != COMMENT and is_raw(text, a)))
+                    opens.append(o)
+                last = text.count("\n")
+                follows = lambda k: found[k][0] == COMMENT == found[k - 1][0] and found[k][3] and (found[k - 1][3] or opens[k - 1] & 1) and found[k][1] == found[k - 1][1] + 1  # noqa: B023, E731
+                head, tail = 0, len(found)
+                if found and (opens[0] & 1 or found[0][3] and found[0][1] < 2):
+                    head = 1
+                    while head < len(found) and follows(head):
+                        head += 1
+                if found and (opens[-1] & 2 or found[-1][3] and found[-1][1] >= last - 1):
+                    tail -= 1
+                    while tail > head and follows(tail):
+                        tail -= 1
+                tail = max(tail, head)
+                done += [(i, n, 0, line + no, 0, c, 0) for no, c in joined(found[head:tail])]
+                done += [(i, n, k, line + found[k][1], found[k][0], found[k][2], opens[k] | 4 * found[k][3] | 8 * found[k][4]) for k in [*range(head), *range(tail, len(found))]]
+            yield pd.DataFrame(done, columns=["file_id", "n", "k", "line", "kind", "t", "o"])
+
+    pieces = parts.join(states.hint("shuffle_hash"), ["file_id", "n"]).mapInPandas(lexed, "file_id long, n int, k int, line long, kind int, t string, o int")
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield label([*zip(b["file_id"], b["line"], b["t"])])
 
     def borders(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["n", "line"], kind="stable")
         spans: list[list] = []
         going = False
-        for line, kind, t, o in zip(g["line"], g["kind"], g["t"], g["o"]):
-            if o & 1 and going and spans:
+        for line, kind, t, o in g.sort_values(["n", "k"])[["line", "kind", "t", "o"]].itertuples(index=False):
+            if o & 1 and going:
                 spans[-1][2] += t
             else:
-                spans.append([line, kind, t, o])
+                spans.append([kind, line, t, bool(o & 4), bool(o & 8)])
             going = bool(o & 2)
-        found: list[tuple[int, int, str]] = []
-        last = -9
-        for line, kind, t, o in spans:
-            if kind == COMMENT:
-                only = bool(o & 4)
-                if only and last == line - 1 and found:
-                    found[-1] = (*found[-1][:2], found[-1][2] + "\n" + t[1:])
-                else:
-                    found.append((int(g["file_id"].iloc[0]), line, t[1:]))
-                last = line if only else -9
-            else:
-                q = 3 if kind in (TRIPLE_S, TRIPLE_D) else 1
-                found.append((int(g["file_id"].iloc[0]), line, unescaped(t[q:-q])))
-                last = -9
-        return label(found)
+        return label([(int(g["file_id"].iloc[0]), line, c) for line, c in joined([tuple(x) for x in spans])])
 
     big = pieces.where("kind = 0").mapInPandas(inside, out).unionByName(pieces.where("kind > 0").groupBy("file_id").applyInPandas(borders, out))
     return small.unionByName(big)

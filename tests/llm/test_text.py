@@ -145,7 +145,7 @@ def test_lexer_chunks_agree():
     assert p6_natural.entry_states(maps) == [0, 2, 2, 1] and p6_natural.entry_states([]) == []
 
 
-def test_natural_language(spark):
+def test_natural_language(spark, monkeypatch):
     sentences = {
         "en": "The small boat waits for the children near the old mill and this line is a sentence of several words.",
         "de": "Das alte Haus steht am Fluss und wartet auf den Winter weil die Kinder nicht mit dem Hund spielen wollen.",
@@ -158,9 +158,20 @@ def test_natural_language(spark):
     want = {(4, "en"), (6, "en"), (7, "de"), (8, "fr"), (11, "zh")}
     got = p6_natural.find(f, docs).collect()
     assert {(r.line_no, r.lang) for r in got if r.file_id == 1} == want and {r.file_id for r in got} == {1, 4}
-    for size in (40, 90):  # lexed in chunks
-        cut = p6_natural.find(f.where("file_id = 4"), docs, size).collect()
-        assert {(r.line_no) for r in cut} >= {4, 6, 7, 8, 11}
+    weights = p6_natural.train(f.where("content is not null"), docs)
+    monkeypatch.setattr(p6_natural, "train", lambda *_: weights)
+    rng = random.Random(5)
+
+    def line():
+        s = rng.choice(list(sentences.values()))
+        h = len(s) // 2
+        return rng.choice([f"# {s}\n", f"# {s[:h]}\n# {s[h:]}\n", f"x = 1  # {s}\n", f's = r"{s}"\n', f"'''\n{s}\n'''\n", f'    """{s}\n    {s}"""\n', "\n", "y = f(1, 'a')\n", f"# {s}\n\n  # {s}\n", "z = 'it\\'s' + \"q\"\n"])
+
+    many = spark.createDataFrame([(i, "".join(line() for _ in range(rng.randint(3, 25)))) for i in range(40)], "file_id long, content string")
+    whole = sorted(map(tuple, p6_natural.find(many, docs).collect()))
+    assert len(whole) > 100
+    for size in (60, 400):  # lexed in chunks by different tasks
+        assert sorted(map(tuple, p6_natural.find(many, docs, size).collect())) == whole
 
 
 CHARS = st.sampled_from("aeo кАсеоΑοｶﾞガ́̈é가각ᄀ​­  ﬁＡ１-‐\t\n\r中")
