@@ -122,9 +122,12 @@ def alike(rows: DataFrame) -> DataFrame:
     key = ["scope", "f1", "f2"]
     mixed = t.groupBy(*key).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*key)
     members = t.join(mixed, key, "left_semi").distinct()
-    other = members.select(*key, F.col("id").alias("id2"), F.col("raw").alias("raw2"))
-    pairs = members.join(other, key).where((F.col("id") < F.col("id2")) & (F.col("raw") != F.col("raw2")))
-    return pairs.select("scope", F.col("id").alias("id_a"), F.col("id2").alias("id_b")).distinct()
+    # Pairs of different texts of a form, then their rows: never two rows of one text, however many there are.
+    texts = members.select(*key, "raw").distinct()
+    couples = texts.join(texts.withColumnRenamed("raw", "raw2"), key).where("raw < raw2")
+    one = couples.join(members, [*key, "raw"])
+    two = one.join(members.select(*key, F.col("raw").alias("raw2"), F.col("id").alias("id2")), [*key, "raw2"])
+    return two.where("id <> id2").select("scope", F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b")).distinct()
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
