@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import ensure_checkpoint_dir
 from . import ngrams
-from .common import table
+from .common import salted_left_join, table
 from .linear import Linear, Rows, fit
 
 #: Files of the labelled sample (parameter), size of the feature space, precision a classifier must show on repositories
@@ -160,7 +160,7 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     seen = files.mapInPandas(run, "file_id long, repo_id long, kinds array<string>, body long, marked boolean").checkpoint()  # a few numbers a file
     sources = seen.where("body is not null").groupBy("body").agg(F.max("marked").alias("marked"), F.min("repo_id").alias("lo"), F.max("repo_id").alias("hi"), F.count_if(F.col("repo_id").isNull()).alias("loose"))
     copied = sources.where("marked and (lo <> hi or (loose > 0 and lo is not null) or loose > 1)").select("body", F.lit(True).alias("copied"))
-    got = seen.join(copied.hint("shuffle_hash"), "body", "left")
+    got = salted_left_join(seen, copied, "body", "file_id")
     kinds = F.when(F.col("copied"), F.array_union("kinds", F.array(F.lit("vendored")))).otherwise(F.col("kinds"))
     return got.select("file_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
