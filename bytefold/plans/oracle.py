@@ -84,6 +84,22 @@ chunk_ids AS (SELECT chunk, string_agg(s, ',' ORDER BY k) AS s FROM spread JOIN
 texts AS (SELECT key, string_agg(s, ',' ORDER BY g) AS s FROM pieces JOIN chunk_ids USING (chunk) GROUP BY key)"""
 
 
+SPECIAL_RX = quoted("|".join(SPECIALS))
+
+
+def encode_special() -> str:
+    """Texts between two specials; specials inside cut a text into parts that are encoded apart."""
+    cut = f"string_split_regex(text, {SPECIAL_RX})"
+    parts = f"(SELECT DISTINCT item_ord || ':' || k AS pk, p AS text FROM (SELECT item_ord, unnest({cut}) AS p, generate_subscripts({cut}, 1) AS k FROM text_item WHERE text <> ''))"
+    found = f"regexp_extract_all(text, {SPECIAL_RX})"
+    number = lambda name: f"(256 + (SELECT count(*) FROM ids WHERE status = 'visible') + list_position([{', '.join(map(quoted, SPECIALS))}], {name}) - 1)"
+    return f"""{encode(parts, 'pk')},
+inner_specials AS (SELECT item_ord, k, {number('x')}::VARCHAR AS s FROM (SELECT DISTINCT item_ord, unnest({found}) AS x, generate_subscripts({found}, 1) AS k FROM text_item WHERE text <> '')),
+rows AS (SELECT string_split(key, ':')[1]::BIGINT AS item_ord, string_split(key, ':')[2]::BIGINT AS k, 0 AS side, s FROM texts UNION ALL SELECT item_ord, k, 1, s FROM inner_specials),
+whole AS (SELECT item_ord, string_agg(s, ',' ORDER BY k, side) AS s FROM rows GROUP BY item_ord)
+SELECT item_ord, {number("'<_SOS_>'")} || ',' || coalesce(s || ',', '') || {number("'<_EOS_>'")} AS ids FROM text_item LEFT JOIN whole USING (item_ord)"""
+
+
 KIND = "CASE " + " ".join(f"WHEN regexp_full_match(c, {quoted('[' + char_class(k) + ']')}) THEN '{k}'" for k in KINDS[:-1]) + f" ELSE '{KINDS[-1]}' END"
 
 
@@ -110,6 +126,7 @@ def oracles() -> dict[str, str]:
 l AS (SELECT file_id, CASE WHEN suffix = '.txt' THEN list_filter(list_transform(regexp_extract_all(t, '[^\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]*[\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]|[^\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]+'), lambda x: rtrim(x, chr(10))), lambda x: x <> '' AND x <> '===') ELSE [t] END AS l FROM f)
 SELECT file_id, unnest(range(len(l)))::INT AS line_no, unnest(l) AS text FROM l""",
         "encode_items": f"{encode('(SELECT DISTINCT item_ord, text FROM text_item)', 'item_ord')} SELECT item_ord, coalesce(s, '') AS ids FROM text_item LEFT JOIN texts ON key = item_ord",
+        "encode_special_items": encode_special(),
         "compression_by_source": f"{encode('(SELECT DISTINCT item_ord, text FROM text_item)', 'item_ord')} SELECT source_id, sum(coalesce(octet_length(encode(text)), 0))::BIGINT AS n_bytes, sum(CASE WHEN s IS NULL THEN 0 ELSE len(string_split(s, ',')) END)::BIGINT AS n_tokens FROM text_item LEFT JOIN texts ON key = item_ord GROUP BY source_id",
         "merge_count_pairs": "SELECT (left_id::BIGINT << 32) | right_id AS pair_key, left_id, right_id, sum(n)::BIGINT AS n FROM merge_count WHERE n IS NOT NULL GROUP BY left_id, right_id",
         "encode_documents": f"{encode('documents', 'doc_id')} SELECT doc_id, coalesce(s, '') AS ids FROM documents LEFT JOIN texts ON key = doc_id",

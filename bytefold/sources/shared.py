@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a folder of this machine only where the session names none and runs locally."""
     sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir", None):
+    if named := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None):
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(named)
         return named
