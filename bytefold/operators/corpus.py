@@ -52,6 +52,34 @@ def best_pair(state: DataFrame) -> DataFrame:
     return top.select(T.char_id(F.substring("pair", 1, 1)).alias("left_id"), T.char_id(F.substring("pair", 2, 1)).alias("right_id"), "n")
 
 
+#: Pairs of the largest counts looked at before their first places.
+LEADERS = 32
+
+
+def leading_pair(state: DataFrame) -> tuple[int, int, int] | None:
+    """(left, right, n) of the best pair, None without pairs.
+
+    Counts alone are a hash aggregate; first places, whose minimum needs a sort, are only sought among the leaders that
+    share the largest count, in the chunks that hold them. More ties than LEADERS take the full way.
+    """
+    pairs = state.where(F.length("tokens") > 1).select("freq", F.explode(T.pairs(F.col("tokens"))["pair"]).alias("pair"))
+    top = pairs.groupBy("pair").agg(F.sum("freq").alias("n")).orderBy(F.desc("n")).limit(LEADERS).collect()
+    if not top:
+        return None
+    tied = [r["pair"] for r in top if r["n"] == top[0]["n"]]
+    if len(tied) == LEADERS:
+        found = best_pair(state).first()
+        return found["left_id"], found["right_id"], found["n"]
+    if len(tied) > 1:
+        holds = F.lit(False)
+        for p in tied:
+            holds = holds | F.col("tokens").contains(p)
+        at = state.where(holds).select("first_ord", "first_pos", F.explode(T.pairs(F.col("tokens"))).alias("p")).where(F.col("p.pair").isin(tied))
+        tied = [at.groupBy("p.pair").agg(F.min(F.struct("first_ord", "first_pos", "p.off")).alias("first")).orderBy("first").first()["pair"]]
+    left, right = (ord(c) - (T.LEARNED if ord(c) >= T.LEARNED else 0) for c in tied[0])
+    return left, right, top[0]["n"]
+
+
 def exposure(state: DataFrame) -> DataFrame:
     """(token_id, exposure) of the tokens now standing in the corpus."""
     rows = state.select("freq", F.explode(T.chars(F.col("tokens"))).alias("c"))

@@ -88,10 +88,10 @@ class Trainer:
             self.state = self._keep(self.state)
         while self.next_id < self.train_vocab_size:
             began = time.perf_counter()
-            best = corpus.best_pair(self.state).collect()  # one row
-            if not best or best[0]["n"] < 2:
+            best = corpus.leading_pair(self.state)
+            if best is None or best[2] < 2:
                 break
-            left, right, n = best[0]
+            left, right, n = best
             new = self.next_id
             self.merges.append(Merge(new, left, right, n))
             self.state = corpus.merge_corpus(self.state, left, right, new)
