@@ -122,13 +122,13 @@ def licenses_of(files: DataFrame, repos: DataFrame, licenses: DataFrame) -> Data
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     f = files.select("file_id", "repo_id", "content", "suffix", folder.alias("dir"), name.alias("name"))
-    is_license = F.coalesce(F.col("name").rlike(r"(?i)^(licen[sc]e|copying)(\..*)?$"), F.lit(False))
+    code = F.coalesce(F.col("suffix").isin(*SOURCE_SUFFIXES), F.lit(False))
+    is_license = F.coalesce(F.col("name").rlike(r"(?i)^(licen[sc]e|copying)(\..*)?$"), F.lit(False)) & ~code  # license.py is code
     is_root = F.size(F.split("dir", "/")) == 2
     manifest = F.when(F.col("name") == "package.json", F.regexp_extract("content", r'"license"\s*:\s*(?:\{[^}]*"type"\s*:\s*)?"([^"]*)"', 1)).when(F.col("name") == "pyproject.toml", F.regexp_extract("content", r'(?m)^\s*license\s*=\s*(?:\{[^}]*text\s*=\s*)?"([^"]*)"', 1))
     blocks = F.when(F.col("suffix") == ".py", F.regexp_extract_all("content", F.lit(HASH_COMMENTS), F.lit(0))).otherwise(F.regexp_extract_all("content", F.lit(SLASH_COMMENTS), F.lit(0)))
     notice = F.when(F.col("content").rlike(MARKS), F.array_join(F.filter(blocks, lambda b: b.rlike(MARKS)), "\n"))
-    is_source = F.col("suffix").isin(*SOURCE_SUFFIXES) & ~is_license
-    kind = F.when(is_license, "license").when(F.col("name").isin("package.json", "pyproject.toml") & is_root, "manifest").when(is_source, "source")
+    kind = F.when(is_license, "license").when(F.col("name").isin("package.json", "pyproject.toml") & is_root, "manifest").when(code, "source")
     # A manifest states by its licence field alone, and a name there needs no context.
     text = F.when(kind == "license", F.concat(F.lit("license: "), F.col("content"))).when(kind == "manifest", F.when(manifest != "", F.concat(F.lit("license: "), manifest))).when(kind == "source", notice)
     f = f.withColumn("kind", kind).where("kind is not null").withColumn("text", text).drop("content")

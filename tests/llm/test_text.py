@@ -51,11 +51,12 @@ def test_license(spark, licenses):
         (17, 4, "C/d/f.cpp", "int x; // geht mit allem\n"),
         (18, 1, None, ""),
         (19, 1, "C/a/g.ts", "/*\n * (c) 2020 X Y\n * Governed by the House Source Agreement, schedule 4.\n */\n"),
+        (20, 1, "C/a/license.py", "x = 1"),
     ]
     repos = spark.createDataFrame([(i, n, "z", "z") for i, n in ((1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e"))], REPOS)
     got = {(r.scope, r.scope_id): r.license for r in p1_license.licenses_of(files(spark, rows), repos, licenses).collect()}
     assert {k[1]: v for k, v in got.items() if k[0] == "repo"} == {1: "MIT", 2: "unknown", 3: "unknown", 4: "conflict", 5: "unknown"}
-    assert {k[1]: v for k, v in got.items() if k[0] == "file"} == {3: "MIT", 4: "ISC OR MIT", 5: "conflict", 7: "ISC", 8: "unknown", 9: "unknown", 10: "unknown", 11: "MIT", 13: "unknown", 16: "ISC", 17: "conflict", 19: "unknown"}
+    assert {k[1]: v for k, v in got.items() if k[0] == "file"} == {3: "MIT", 4: "ISC OR MIT", 5: "conflict", 7: "ISC", 8: "unknown", 9: "unknown", 10: "unknown", 11: "MIT", 13: "unknown", 16: "ISC", 17: "conflict", 19: "unknown", 20: "MIT"}
     assert p1_license.licenses_of(files(spark, rows).limit(0), repos.limit(0), licenses.limit(0)).collect() == []
 
 
