@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..sources.shared import ensure_checkpoint_dir
 from .common import table
 
 #: Letters and signs that look like Latin ones, in two rows read together.
@@ -119,6 +120,8 @@ def alike(rows: DataFrame) -> DataFrame:
     t = rows.where("text is not null").withColumn("_u", unsure)
     # The texts themselves are not shuffled, only two hashes of each; what they claim is as good as 128 bits.
     t = t.withColumn("_f", formed).select("scope", "id", F.xxhash64(F.lit(5), "_f").alias("f1"), F.xxhash64(F.lit(6), "_f", F.length("_f")).alias("f2"), F.xxhash64(F.lit(7), "text").alias("raw"))
+    ensure_checkpoint_dir(rows.sparkSession)
+    t = t.checkpoint()  # five numbers a row; the texts are read and formed once
     key = ["scope", "f1", "f2"]
     mixed = t.groupBy(*key).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*key)
     members = t.join(mixed, key, "left_semi").distinct()
