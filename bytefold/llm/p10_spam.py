@@ -1,14 +1,16 @@
 """Pages of repeated key phrases, links and tags instead of sentences.
 
 Features of each document (characters in links, tags, price lines and phrase lines, entropy, repetition, share of function
-words, punctuation) are compared with the robust centre and scatter of its language, over all documents. Outliers by
-Mahalanobis distance that lie in the direction of spam, with more than half of their characters in such material, are spam.
+words, punctuation) are compared with the robust centre and scatter of its language, over all documents, copies counting
+once. Outliers by Mahalanobis distance that lie in the direction of spam, with more than half of their characters in such
+material, are spam.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +31,7 @@ PLAIN = 1 - (1 - SENTENCE) * SPAM_SHARE
 #: Features with their signs towards spam; those of 0 tell odd documents but point nowhere by themselves.
 FEATURES = {"link": 1, "tag": 1, "price": 1, "phrase": 1, "entropy": 0, "repeat": 0, "function": -1, "punctuation": 0}
 FLOOR = 0.05  # least scale of a feature
+SPAN = 24  # words of a span by which copies are known, 16 + 8
 
 CJK = "぀-ヿ㐀-鿿豈-﫿"
 WORD = re.compile(rf"[{CJK}]|[^\W_{CJK}]+")
@@ -47,15 +50,58 @@ def words_of(text: str) -> list[str]:
     return (ASCII_WORD if low.isascii() else WORD).findall(low)
 
 
+class Hashes(dict):
+    """Hashes of words, kept while there are not too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+HASHES = Hashes()
+STEP = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8, 16)]
+
+
+def sketch(words: list[str]) -> int:
+    """Least hash of the spans of SPAN words: equal for equal texts and, but by chance, for slightly extended ones."""
+    x = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    if len(x) < SPAN:
+        x = np.concatenate([x + np.uint64(1), np.zeros(SPAN - len(x), np.uint64)])
+    for k, step in enumerate(STEP[:4]):  # spans of 2, 4, 8 and 16 words
+        eight = x
+        x = x[: -(1 << k)] * step + x[1 << k :]
+    x = x[:-8] * STEP[4] + eight[16:]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return int((x ^ (x >> np.uint64(32))).min() >> np.uint64(1))
+
+
 def function_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[str, ...]]:
-    """word -> languages in whose documents it is frequent. Counts all documents with a language.
+    """word -> languages in whose documents it is frequent. Counts all documents with a language, a group of copies as one.
 
-    Documents are counted within a task first, so a frequent word leaves it once; no language has more than (words of a
-    document) / FUNCTION_SHARE such words.
+    One document of each sketch goes from a task, as its distinct words, so a group of copies is a row a task; they are
+    counted within a task first, so a frequent word leaves it once. No language has more than (words of a document) /
+    FUNCTION_SHARE such words.
     """
 
+    def voters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, int]] = set()
+        for b in batches:
+            rows = []
+            for l, t in zip(b["l"], b["t"]):
+                ws = words_of(t)
+                if (at := (l, sketch(ws))) not in seen:
+                    seen.add(at)
+                    rows.append((*at, " ".join(sorted(set(ws)))))
+            if len(seen) > 1 << 17:
+                seen.clear()
+            yield pd.DataFrame(rows, columns=["l", "k", "ws"])
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter[str]] = {}
+        last = None
 
         def out() -> pd.DataFrame:
             rows = [(l, w, n) for l, c in held.items() for w, n in c.items()]
@@ -63,16 +109,21 @@ def function_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> d
             return pd.DataFrame(rows, columns=["l", "w", "c"])
 
         for b in batches:
-            for l, t in zip(b["l"], b["t"]):
+            for l, k, ws in zip(b["l"], b["k"], b["ws"]):
+                if (l, k) == last:
+                    continue
+                last = l, k
                 c = held.setdefault(l, Counter())
-                c.update(set(words_of(t)))
+                c.update(ws.split())
                 c[""] += 1  # documents
             if sum(map(len, held.values())) > 1 << 18:
                 yield out()
         yield out()
 
+    ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.where(f"{text} is not null and {lang} is not null").select(F.col(lang).alias("l"), F.col(text).alias("t"))
-    counts = rows.mapInPandas(partial, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
+    voting = rows.mapInPandas(voters, "l string, k long, ws string").repartition("l", "k").sortWithinPartitions("l", "k", "ws")
+    counts = voting.mapInPandas(partial, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c")).checkpoint()  # read twice
     sizes = {r.l: r.c for r in counts.where("w = ''").collect()}  # a row per language
     if not sizes:
         return {}
@@ -97,9 +148,9 @@ class Known:
 N_LOG_N = [0.0, *(n * math.log(n) for n in range(1, 1 << 12))]
 
 
-def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float], float]:
-    """(language by function words, features, share of spam material) of a document."""
-    counts = Counter(words_of(text))
+def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float], float, int]:
+    """(language by function words, features, share of spam material, sketch) of a document."""
+    counts = Counter(found := words_of(text))
     total = sum(counts.values())
     by_set = [0] * len(known.sets)
     for w in counts.keys() & known.set_of.keys():
@@ -142,13 +193,13 @@ def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float]
                     elif any(w in key for w in ws):
                         share["phrase"] += n
         share = {k: v / max(1, size) for k, v in share.items()}
-    return group, [*share.values(), entropy, 1 - len(counts) / max(1, total), function, punctuation], sum(share.values())
+    return group, [*share.values(), entropy, 1 - len(counts) / max(1, total), function, punctuation], sum(share.values()), sketch(found)
 
 
 def spam(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key) of spam documents. Null, empty and blank texts are none; repeated rows come out as often.
 
-    Every document is measured whole, and the statistics cover all documents of a language.
+    Every document is measured whole, and the statistics cover all documents of a language, a group of copies by its mean.
     """
     known = Known(function_words(docs, text, lang))
     names = list(FEATURES)
@@ -156,19 +207,20 @@ def spam(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, *measure(t, l, known)) for i, t, l in zip(b["key"], b["text"], b["lang"])]
-            yield pd.DataFrame({"key": [r[0] for r in rows], "grp": [r[1] for r in rows], "share": [r[3] for r in rows]} | {n: [r[2][k] for r in rows] for k, n in enumerate(names)})
+            yield pd.DataFrame({"key": [r[0] for r in rows], "grp": [r[1] for r in rows], "share": [r[3] for r in rows], "k": [r[4] for r in rows]} | {n: [r[2][k] for r in rows] for k, n in enumerate(names)})
 
     kind = docs.schema[key].dataType.simpleString()
     some = docs.where(F.trim(F.regexp_replace(text, r"\s+", " ")) != "").select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    ensure_checkpoint_dir(docs.sparkSession)
-    f = some.mapInPandas(run, f"key {kind}, grp string, share double, " + ", ".join(f"{n} double" for n in names)).checkpoint()  # ten numbers a document
-    middle = f.groupBy("grp").agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m_{n}") for n in names])
-    off = f.join(F.broadcast(middle), "grp")  # a row per language
+    f = some.mapInPandas(run, f"key {kind}, grp string, share double, k long, " + ", ".join(f"{n} double" for n in names)).checkpoint()  # eleven numbers a document
+    once = f.groupBy("grp", "k").agg(*[F.avg(n).alias(n) for n in names])
+    middle = once.groupBy("grp").agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m_{n}") for n in names])
+    off = once.join(F.broadcast(middle), "grp")  # a row per language
     scale = off.groupBy("grp").agg(*[F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{n}")), 0.5, 1000), F.lit(FLOOR)).alias(f"s_{n}") for n in names])
-    z = off.join(F.broadcast(scale), "grp").select("key", "grp", "share", *[((F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")).alias(n) for n in names])
+    scaled = [((F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")).alias(n) for n in names]
+    z = f.join(F.broadcast(middle), "grp").join(F.broadcast(scale), "grp").select("key", "grp", "share", *scaled)
     clip = {n: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.col(n))) for n in names}
     # Scatter of the winsorised deviations, so the spam itself does not widen it.
-    moments = z.groupBy("grp").agg(*[F.avg(clip[a] * clip[b]).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).collect()  # a row per language
+    moments = off.join(F.broadcast(scale), "grp").select("grp", *scaled).groupBy("grp").agg(*[F.avg(clip[a] * clip[b]).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).collect()  # a row per language
     inverse = {}
     for r in moments:
         m = np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))])

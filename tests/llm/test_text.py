@@ -218,3 +218,13 @@ def test_linear_models():
     assert ((two.scores(rows)[:, 0] > 0) == (y == 1)).all()
     a, b = platt(np.array([-2.0, -1, 1, 2] * 20), np.array([0, 0, 1, 1] * 20))
     assert a > 0 and fit(Rows.of([]), np.zeros(0, int), 8, "log").scores(Rows.of([])).shape == (0, 1)
+
+
+def test_spam_copies(spark):
+    rng = random.Random(9)
+    nouns, ends = [a + b for a in "b d f k l m n p r t".split() for b in "ale one urt ime and".split()], ["near the river", "before the snow came", "for the third time", "without any help"]
+    prose = lambda: " ".join(f"The {rng.choice(nouns)} of the {rng.choice(nouns)} has {rng.choice('seen met left sold'.split())} a {rng.choice(nouns)} {rng.choice(ends)}." for _ in range(12))
+    page = "best gold ring, cheap loan quote, online car rental, cheap gold ring, best loan quote, sale phone case. " * 5
+    rows = [(i, prose(), "en") for i in range(150)] + [(1000 + i, page, "en") for i in range(90)] + [(2000 + i, page + f"cheap ring {rng.choice(nouns)} {i}", "en") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert {r.doc_id for r in p10_spam.spam(docs).collect()} == {i for i, *_ in rows if i >= 1000}
