@@ -1,3 +1,4 @@
+import base64
 import random
 import unicodedata
 
@@ -228,3 +229,15 @@ def test_spam_copies(spark):
     rows = [(i, prose(), "en") for i in range(150)] + [(1000 + i, page, "en") for i in range(90)] + [(2000 + i, page + f"cheap ring {rng.choice(nouns)} {i}", "en") for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     assert {r.doc_id for r in p10_spam.spam(docs).collect()} == {i for i, *_ in rows if i >= 1000}
+
+
+def test_long_secrets(spark):
+    rng = random.Random(6)
+    rows, truth = secret_files(120)
+    coded = lambda n: base64.b64encode(rng.randbytes(n)).decode()
+    long = {i: coded(600 + i) for i in range(1000, 1010)} | {1010: coded(200_000)}
+    rows += [(i, i % 13, f"C/r{i % 13}/src/a.py", f'import os\n\nACCESS_TOKEN = "{s}"\n') for i, s in long.items()]
+    rows += [(i, i % 13, f"C/r{i % 13}/src/b.py", f'APP_ICON = "data:image/png;base64,{coded(90 if i % 10 else 900)}"\n') for i in range(1100, 1140)]
+    got = {(r.file_id, r.secret) for r in p2_secrets.find(files(spark, rows)).collect()}
+    assert {x for x in got if x[0] >= 1000} == set(long.items())
+    assert len(got & truth) >= 0.97 * len(truth)
