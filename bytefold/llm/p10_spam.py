@@ -26,7 +26,8 @@ from .common import table
 #: many degrees as features); least share of spam material; coverage below which a segment is no sentence; uses from which
 #: a word is a key word.
 FUNCTION_SHARE, DISTANCE, SPAM_SHARE, SENTENCE, KEY_USES = 0.1, 26.12, 0.5, 0.7, 4
-#: Share of function words from which, by those limits, less than half of the words can stand in segments that are no sentences.
+#: Share of function words from which, by those limits, less than half of the words can stand in segments that are no
+#: sentences: no code.
 PLAIN = 1 - (1 - SENTENCE) * SPAM_SHARE
 #: Features with their signs towards spam; those of 0 tell odd documents but point nowhere by themselves.
 FEATURES = {"link": 1, "tag": 1, "price": 1, "phrase": 1, "entropy": 0, "repeat": 0, "function": -1, "punctuation": 0}
@@ -168,12 +169,15 @@ def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float]
     entropy = 1 - n_log_n / (total * math.log(total)) if total > 1 else 1.0
     punctuation = min(1.0, sum(map(text.count, ".!?。！？,，")) * 10 / len(text))
     share = dict.fromkeys(("link", "tag", "price", "phrase"), 0.0)
-    if function < PLAIN or "://" in text or "#" in text or LINK.search(text):
+    code = False
+    if function < PLAIN:
         lines = [x for x in text.split("\n") if x.strip()]
-        if code := function < PLAIN and len(lines) > 3 and sum(bool(CODE_LINE.search(x)) for x in lines) >= 0.4 * len(lines) and sum(bool(LINK.search(x)) for x in lines) < 0.5 * len(lines):
+        if code := len(lines) > 3 and sum(bool(CODE_LINE.search(x)) for x in lines) >= 0.4 * len(lines) and sum(bool(LINK.search(x)) for x in lines) < 0.5 * len(lines):
             group, function = "code", codes / max(1, total)
-        natural = counts.keys() & known.words.get(group, set())
-        key = {w for w, n in counts.items() if n >= KEY_USES and w not in natural and (len(w) > 2 or not w.isascii()) and not w.isdigit()}
+    natural = known.words.get(group, set())
+    key = {w for w, n in counts.items() if n >= KEY_USES and w not in natural and (len(w) > 2 or not w.isascii()) and not w.isdigit()}
+    if key or "#" in text or LINK.search(text) or PRICE.search(text):  # else no segment is material
+        natural = counts.keys() & natural
         size = 0
         for s in SEGMENT.findall(text):
             if not (n := len(s.strip())):

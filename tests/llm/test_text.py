@@ -241,3 +241,14 @@ def test_long_secrets(spark):
     got = {(r.file_id, r.secret) for r in p2_secrets.find(files(spark, rows)).collect()}
     assert {x for x in got if x[0] >= 1000} == set(long.items())
     assert len(got & truth) >= 0.97 * len(truth)
+
+
+def test_spam_of_long_words():
+    short = "the of and to in is it so on at by".split()
+    known = p10_spam.Known({w: ("en",) for w in short})
+    plain = " ".join(" ".join(short[(i + k) % 11] for k in range(11)) + "." for i in range(14))
+    lines = "\n".join("the of and to wallpaperingscompany discountwarehouses" for _ in range(20))
+    page = plain + "\n" + lines
+    words = p10_spam.words_of(page)
+    assert sum(w in short for w in words) / len(words) >= p10_spam.PLAIN and len(lines) > len(page) / 2
+    assert p10_spam.measure(page, "en", known)[2] > 0.5
