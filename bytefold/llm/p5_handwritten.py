@@ -22,8 +22,9 @@ from .common import salted_left_join, table
 from .linear import Linear, Rows, fit
 
 #: Files of the labelled sample (parameter), size of the feature space, precision a classifier must show on repositories
-#: held out, normalised characters from which equal bodies are copies.
-TRAIN_FILES, BITS, PRECISION, COPY_CHARS = 4000, 17, 0.995, 150
+#: held out, words beyond which equal bodies are copies.
+TRAIN_FILES, BITS, PRECISION, COPY_WORDS = 4000, 17, 0.995, 8
+WORD = re.compile(r"\w+")
 KINDS = ("generated", "minified", "vendored", "data")
 SUFFIXES = (".js", ".mjs", ".cjs")
 
@@ -150,16 +151,15 @@ def not_handwritten(files: DataFrame) -> DataFrame:
             for path, content in zip(b["path"], b["content"]):
                 shown.append(marks(path or "", content)[0])
                 body = re.sub(r"\s+", " ", body_of(content))
-                bodies.append(body if len(body) >= COPY_CHARS else None)
+                bodies.append(body if len(WORD.findall(body[:400])) > COPY_WORDS or len(body) > 400 else None)
                 parts.append(features(path or "", content))
             scores = model.scores(ngrams.rows(parts))
             kinds = [sorted(s | {k for j, k in enumerate(KINDS) if row[j] > limits[j]}) for s, row in zip(shown, scores)]
-            yield pd.DataFrame({"file_id": b["file_id"], "repo_id": b["repo_id"].astype("Int64"), "kinds": kinds, "body": [None if x is None else hash_of(x) for x in bodies], "marked": ["vendored" in s for s in shown]})
+            yield pd.DataFrame({"file_id": b["file_id"], "kinds": kinds, "body": [None if x is None else hash_of(x) for x in bodies], "marked": ["vendored" in s for s in shown]})
 
     ensure_checkpoint_dir(files.sparkSession)
-    seen = files.mapInPandas(run, "file_id long, repo_id long, kinds array<string>, body long, marked boolean").checkpoint()  # a few numbers a file
-    sources = seen.where("body is not null").groupBy("body").agg(F.max("marked").alias("marked"), F.min("repo_id").alias("lo"), F.max("repo_id").alias("hi"), F.count_if(F.col("repo_id").isNull()).alias("loose"))
-    copied = sources.where("marked and (lo <> hi or (loose > 0 and lo is not null) or loose > 1)").select("body", F.lit(True).alias("copied"))
+    seen = files.mapInPandas(run, "file_id long, kinds array<string>, body long, marked boolean").checkpoint()  # a few numbers a file
+    copied = seen.where("body is not null").groupBy("body").agg(F.max("marked").alias("copied"), F.count("*").alias("n")).where("copied and n > 1").drop("n")
     got = salted_left_join(seen, copied, "body", "file_id")
     kinds = F.when(F.col("copied"), F.array_union("kinds", F.array(F.lit("vendored")))).otherwise(F.col("kinds"))
     return got.select("file_id", kinds.alias("kinds")).where(F.size("kinds") > 0)

@@ -252,3 +252,14 @@ def test_spam_of_long_words():
     words = p10_spam.words_of(page)
     assert sum(w in short for w in words) / len(words) >= p10_spam.PLAIN and len(lines) > len(page) / 2
     assert p10_spam.measure(page, "en", known)[2] > 0.5
+
+
+def test_vendored_copies(spark):
+    rows, _ = js(200)
+    own = "export function lamuro(dike) {\n  return dike.sotu(31) + mefi.lora(dike, 7);\n}"
+    long = "\n".join(own.replace("lamuro", f"lamuro{k}") for k in range(6))
+    for i, body in ((600, own), (610, long)):
+        rows += [(i, 3, f"C/r3/lib/{i}.js", "/*! someutils v1.2.3 | MIT */\n" + body), (i + 1, 3, f"C/r3/src/{i}.js", body)]
+    rows += [(620, 4, "C/r4/lib/i.js", "/*! someutils v1.2.3 | MIT */\nexport default 1;"), (621, 4, "C/r4/src/i.js", "export default 1;")]
+    got = {r.file_id for r in p5_handwritten.not_handwritten(files(spark, rows)).collect()}
+    assert {600, 601, 610, 611, 620} <= got and 621 not in got
