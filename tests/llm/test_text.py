@@ -263,3 +263,10 @@ def test_vendored_copies(spark):
     rows += [(620, 4, "C/r4/lib/i.js", "/*! someutils v1.2.3 | MIT */\nexport default 1;"), (621, 4, "C/r4/src/i.js", "export default 1;")]
     got = {r.file_id for r in p5_handwritten.not_handwritten(files(spark, rows)).collect()}
     assert {600, 601, 610, 611, 620} <= got and 621 not in got
+
+
+def test_redacted_keeps_null_contents(spark):
+    rows, _ = secret_files(60)
+    rows += [(901, 1, "C/r1/n.py", None), (902, 1, "C/r1/package.json", None)]
+    blank = {r.file_id: r.content for r in p2_secrets.redacted(files(spark, rows)).collect()}
+    assert set(blank) == {i for i, *_ in rows} and {i for i, c in blank.items() if c is None} == {901, 902}
