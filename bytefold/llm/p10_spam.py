@@ -1,9 +1,10 @@
 """Pages of repeated key phrases, links and tags instead of sentences.
 
-Features of each document (characters in links, tags, price lines and phrase lines, entropy, repetition, share of function
+Features of each document (densities of links, tags, price lines and phrase lines, entropy, repetition, share of function
 words, punctuation) are compared with the robust centre and scatter of its language, over all documents, copies counting
-once. Outliers by Mahalanobis distance that lie in the direction of spam, with more than half of their characters in such
-material, are spam.
+once. An outlier by Mahalanobis distance is spam if it lies in a direction of spam and at least as far out in it as the
+language's middle document would with half of its characters replaced by the outlier's own mix of such material; length
+and angle are measured in the same metric, so what else is odd about a document counts, too.
 """
 
 from __future__ import annotations
@@ -16,27 +17,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import ensure_checkpoint_dir
 from .common import table
 
 #: Share of a language's documents from which a word is a function word; squared distance (99.9 % of chi-square with as
-#: many degrees as features); least share of spam material; coverage below which a segment is no sentence; uses from which
-#: a word is a key word.
-FUNCTION_SHARE, DISTANCE, SPAM_SHARE, SENTENCE, KEY_USES = 0.1, 26.12, 0.5, 0.7, 4
-#: Share of function words from which, by those limits, less than half of the words can stand in segments that are no
-#: sentences: no code.
-PLAIN = 1 - (1 - SENTENCE) * SPAM_SHARE
-#: Features with their signs towards spam; those of 0 tell odd documents but point nowhere by themselves.
-FEATURES = {"link": 1, "tag": 1, "price": 1, "phrase": 1, "entropy": 0, "repeat": 0, "function": -1, "punctuation": 0}
+#: many degrees as features); part of a text replaced by material that marks how far out spam begins; least cosine between
+#: a deviation and its direction of spam; coverage below which a segment is no sentence; uses from which a word is a key
+#: word; documents below which a language takes the statistics of all documents.
+FUNCTION_SHARE, DISTANCE, SPAM_SHARE, COSINE, SENTENCE, KEY_USES, FEW = 0.1, 26.12, 0.5, 0.5, 0.7, 4, 50
+#: Share of function words from which a text is no code.
+PLAIN = 0.85
+#: Densities of material and the other features. Spam raises the former and lowers the share of function words.
+MATERIAL = ("link", "tag", "price", "phrase")
+FEATURES = (*MATERIAL, "entropy", "repeat", "function", "punctuation")
 FLOOR = 0.05  # least scale of a feature
+EVERY = "*"  # the group of all documents
 SPAN = 24  # words of a span by which copies are known, 16 + 8
 
 CJK = "぀-ヿ㐀-鿿豈-﫿"
 WORD = re.compile(rf"[{CJK}]|[^\W_{CJK}]+")
-JAVA_WORD = r"[぀-ヿ㐀-鿿豈-﫿]|[\p{L}\p{N}&&[^぀-ヿ㐀-鿿豈-﫿]]+"
 ASCII_WORD = re.compile("[a-z0-9]+")
 SEGMENT = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？](?![\s\"”')\]])[^\n.!?。！？]*)*[.!?。！？]*[ \t]*\n?")
 LINK = re.compile(r"https?://|www\.\w|<a\s+href|\]\(")
@@ -149,8 +151,8 @@ class Known:
 N_LOG_N = [0.0, *(n * math.log(n) for n in range(1, 1 << 12))]
 
 
-def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float], float, int]:
-    """(language by function words, features, share of spam material, sketch) of a document."""
+def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float], int]:
+    """(language by function words, features, sketch) of a document."""
     counts = Counter(found := words_of(text))
     total = sum(counts.values())
     by_set = [0] * len(known.sets)
@@ -168,7 +170,7 @@ def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float]
     n_log_n = sum(map(N_LOG_N.__getitem__, counts.values())) if most < len(N_LOG_N) else sum(n * math.log(n) for n in counts.values())
     entropy = 1 - n_log_n / (total * math.log(total)) if total > 1 else 1.0
     punctuation = min(1.0, sum(map(text.count, ".!?。！？,，")) * 10 / len(text))
-    share = dict.fromkeys(("link", "tag", "price", "phrase"), 0.0)
+    share = dict.fromkeys(MATERIAL, 0.0)
     code = False
     if function < PLAIN:
         lines = [x for x in text.split("\n") if x.strip()]
@@ -197,13 +199,20 @@ def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float]
                     elif any(w in key for w in ws):
                         share["phrase"] += n
         share = {k: v / max(1, size) for k, v in share.items()}
-    return group, [*share.values(), entropy, 1 - len(counts) / max(1, total), function, punctuation], sum(share.values()), sketch(found)
+    return group, [*share.values(), entropy, 1 - len(counts) / max(1, total), function, punctuation], sketch(found)
+
+
+def form(x: Column, y: Column) -> Column:
+    """x' S^-1 y by the inverse scatter of the row's language."""
+    row = lambda a, i: a * F.aggregate(F.zip_with(y, F.get("inv", i), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(F.transform(x, row), F.lit(0.0), lambda s, v: s + v)
 
 
 def spam(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key) of spam documents. Null, empty and blank texts are none; repeated rows come out as often.
 
     Every document is measured whole, and the statistics cover all documents of a language, a group of copies by its mean.
+    Documents of no language, and of one with less than FEW documents, are compared with all documents.
     """
     known = Known(function_words(docs, text, lang))
     names = list(FEATURES)
@@ -211,31 +220,40 @@ def spam(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, *measure(t, l, known)) for i, t, l in zip(b["key"], b["text"], b["lang"])]
-            yield pd.DataFrame({"key": [r[0] for r in rows], "grp": [r[1] for r in rows], "share": [r[3] for r in rows], "k": [r[4] for r in rows]} | {n: [r[2][k] for r in rows] for k, n in enumerate(names)})
+            yield pd.DataFrame({"key": [r[0] for r in rows], "grp": [r[1] for r in rows], "k": [r[3] for r in rows]} | {n: [r[2][k] for r in rows] for k, n in enumerate(names)})
 
     kind = docs.schema[key].dataType.simpleString()
     some = docs.where(F.trim(F.regexp_replace(text, r"\s+", " ")) != "").select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    f = some.mapInPandas(run, f"key {kind}, grp string, share double, k long, " + ", ".join(f"{n} double" for n in names)).checkpoint()  # eleven numbers a document
+    f = some.mapInPandas(run, f"key {kind}, grp string, k long, " + ", ".join(f"{n} double" for n in names)).checkpoint()  # ten numbers a document
     once = f.groupBy("grp", "k").agg(*[F.avg(n).alias(n) for n in names])
-    middle = once.groupBy("grp").agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m_{n}") for n in names])
+    once = once.select(F.explode(F.array("grp", F.lit(EVERY))).alias("grp"), *names)
+    middle = once.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(n, 0.5, 1000).alias(f"m_{n}") for n in names])
+    middle = middle.where((F.col("size") >= FEW) & (F.col("grp") != "") | (F.col("grp") == EVERY))
     off = once.join(F.broadcast(middle), "grp")  # a row per language
     scale = off.groupBy("grp").agg(*[F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{n}")), 0.5, 1000), F.lit(FLOOR)).alias(f"s_{n}") for n in names])
-    scaled = [((F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")).alias(n) for n in names]
-    z = f.join(F.broadcast(middle), "grp").join(F.broadcast(scale), "grp").select("key", "grp", "share", *scaled)
-    clip = {n: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.col(n))) for n in names}
+    scaled = {n: (F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}") for n in names}
+    clip = {n: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z)) for n, z in scaled.items()}
     # Scatter of the winsorised deviations, so the spam itself does not widen it.
-    moments = off.join(F.broadcast(scale), "grp").select("grp", *scaled).groupBy("grp").agg(*[F.avg(clip[a] * clip[b]).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).collect()  # a row per language
+    moments = off.join(F.broadcast(scale), "grp").groupBy("grp").agg(*[F.avg(clip[a] * clip[b]).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).collect()  # a row per language
     inverse = {}
     for r in moments:
         m = np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))])
         # Never less than the unit scatter of the scaled features: where there is little variation nothing is an outlier.
         inverse[r.grp] = np.linalg.inv(m + np.diag(np.maximum(1 - np.diag(m), 0.05))).tolist()
-    spark = docs.sparkSession
-    table_of = spark.createDataFrame(list(inverse.items()) or [("", [[0.0]])], "grp string, inv array<array<double>>")
-    scored = z.join(F.broadcast(table_of), "grp").withColumn("z", F.array(*names))
-    d2 = F.aggregate(F.transform("z", lambda a, i: a * F.aggregate(F.zip_with("z", F.get("inv", i), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)), F.lit(0.0), lambda s, x: s + x)
-    toward = sum((F.lit(float(sign)) * clip[n] for n, sign in FEATURES.items()), F.lit(0.0))
-    return scored.where((d2 > DISTANCE) & (toward > 0) & (F.col("share") > SPAM_SHARE)).select(F.col("key").alias(key))
+    table_of = docs.sparkSession.createDataFrame(list(inverse.items()) or [("", [[0.0]])], "grp string, inv array<array<double>>")
+    known_groups = [g for g in inverse if g != EVERY]
+    placed = f.withColumn("grp", F.when(F.col("grp").isin(*known_groups), F.col("grp")).otherwise(EVERY) if known_groups else F.lit(EVERY))
+    rows = placed.join(F.broadcast(middle), "grp").join(F.broadcast(scale), "grp").join(F.broadcast(table_of), "grp")
+    total = sum((F.col(n) for n in MATERIAL), F.lit(0.0))
+    rows = rows.where(total > 0)  # others point in no direction of spam
+    toward = {n: (SPAM_SHARE * F.col(n) / total - F.col(f"m_{n}")) / F.col(f"s_{n}") for n in MATERIAL}
+    # Half a text's function words go with it at most, and none if the material holds as many.
+    toward["function"] = F.least(F.lit(0.0), F.greatest(scaled["function"], -SPAM_SHARE * F.col("m_function") / F.col("s_function")))
+    z, b = F.array(*[scaled[n] for n in names]), F.array(*[toward.get(n, F.lit(0.0)) for n in names])
+    rows = rows.select("key", "inv", z.alias("z"), b.alias("b"))
+    rows = rows.select("key", form(F.col("z"), F.col("z")).alias("d2"), form(F.col("z"), F.col("b")).alias("along"), form(F.col("b"), F.col("b")).alias("reach2"))
+    directed = (F.col("along") > 0) & (F.pow("along", F.lit(2)) >= COSINE**2 * F.col("d2") * F.col("reach2"))
+    return rows.where((F.col("d2") > DISTANCE) & directed & (F.col("along") >= F.col("reach2"))).select(F.col("key").alias(key))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

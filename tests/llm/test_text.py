@@ -251,7 +251,7 @@ def test_spam_of_long_words():
     page = plain + "\n" + lines
     words = p10_spam.words_of(page)
     assert sum(w in short for w in words) / len(words) >= p10_spam.PLAIN and len(lines) > len(page) / 2
-    assert p10_spam.measure(page, "en", known)[2] > 0.5
+    assert sum(p10_spam.measure(page, "en", known)[1][:4]) > 0.5
 
 
 def test_vendored_copies(spark):
@@ -270,3 +270,16 @@ def test_redacted_keeps_null_contents(spark):
     rows += [(901, 1, "C/r1/n.py", None), (902, 1, "C/r1/package.json", None)]
     blank = {r.file_id: r.content for r in p2_secrets.redacted(files(spark, rows)).collect()}
     assert set(blank) == {i for i, *_ in rows} and {i for i, c in blank.items() if c is None} == {901, 902}
+
+
+def test_spam_begins_at_half_of_a_page(spark):
+    rng = random.Random(12)
+    nouns, ends = [a + b for a in "b d f k l m n p r t".split() for b in "ale one urt ime and".split()], ["near the river", "before the snow came", "for the third time", "without any help"]
+    prose = lambda n: " ".join(f"The {rng.choice(nouns)} of the {rng.choice(nouns)} has {rng.choice('seen met left sold'.split())} a {rng.choice(nouns)} {rng.choice(ends)}." for _ in range(n))
+    links = lambda n: "\n".join(f"https://{rng.choice(nouns)}.example/{rng.choice(nouns)}" for _ in range(n))
+    tags = lambda n: " ".join(f"#ledlamp #{rng.choice(nouns)}" for _ in range(n))
+    # About 60 characters a sentence, 26 a link, 15 a pair of tags.
+    rows = [(i, prose(10), "en") for i in range(150)] + [(1000 + i, prose(10) + "\n" + (links(8), tags(13))[i % 2], "en") for i in range(10)]
+    rows += [(2000 + i, prose(4) + "\n" + (links(24), tags(42), links(12) + "\n" + tags(21))[i % 3], "en") for i in range(9)]
+    got = {r.doc_id for r in p10_spam.spam(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {2000 + i for i in range(9)}
