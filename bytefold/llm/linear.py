@@ -54,29 +54,37 @@ class Linear:
 
 
 def fit(rows: Rows, y: np.ndarray, dim: int, loss: str, classes: int = 1, epochs: int = 12, rate: float = 0.3, l2: float = 1e-6, weight: np.ndarray | None = None, seed: int = 7) -> Linear:
-    """Adagrad on minibatches. ``loss``: log, hinge (y 0/1) or softmax (y a class)."""
+    """Adagrad on minibatches. ``loss``: log, hinge (y 0/1) or softmax (y a class).
+
+    With hinge ``y`` may have a column of 1, -1 and 0 (row not used) for each of ``classes`` classifiers fitted at once.
+    """
     rng = np.random.default_rng(seed)
     w, seen = np.zeros((dim, classes), np.float32), np.full((dim, classes), 1e-6, np.float32)
     model, n, size = Linear(w), len(rows), 128
     weight = np.ones(n, np.float32) if weight is None else weight
-    for _ in range(epochs if n else 0):
-        order = rng.permutation(n)
-        for start in range(0, n, size):
-            part = order[start : start + size]
-            b = rows.take(part)
+    batches = []
+    for part in np.split(rng.permutation(n), range(size, n, size)) if n else []:
+        b = rows.take(part)
+        order = np.argsort(b.idx, kind="stable")  # the batches stay the same, so each is sorted by feature once
+        at = b.idx[order]
+        starts = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
+        batches.append((part, b, np.repeat(np.arange(len(part)), np.diff(b.ptr))[order], b.val[order][:, None], starts, at[starts]))
+    for _ in range(epochs):
+        for k in rng.permutation(len(batches)).tolist():
+            part, b, row, val, starts, used = batches[k]
             s = model.scores(b)
             if loss == "softmax":
                 e = np.exp(s - s.max(axis=1, keepdims=True))
                 g = e / e.sum(axis=1, keepdims=True)
                 g[np.arange(len(part)), y[part]] -= 1
+            elif y.ndim == 2:
+                sign = y[part]
+                g = -sign * (sign * s < 1)
             else:
                 sign = (2.0 * y[part] - 1)[:, None]
                 g = -sign * (1 / (1 + np.exp(np.clip(sign * s, -30, 30))) if loss == "log" else (sign * s < 1))
             g = (g * weight[part][:, None] / len(part)).astype(np.float32)
-            used, where = np.unique(b.idx, return_inverse=True)
-            grad = np.zeros((len(used), classes), np.float32)
-            np.add.at(grad, where, g[np.repeat(np.arange(len(part)), np.diff(b.ptr))] * b.val[:, None])
-            grad += l2 * w[used]
+            grad = np.add.reduceat(g[row] * val, starts, axis=0) + l2 * w[used]
             seen[used] += grad**2
             w[used] -= rate * grad / np.sqrt(seen[used])
     return model

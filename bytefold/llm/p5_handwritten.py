@@ -1,13 +1,16 @@
 """Generated, minified, vendored files and data blobs among JavaScript.
 
 Linear support-vector classifiers, one a kind, on hashed character n-grams (of the characters and of their shapes) and path
-components learn from weak labels: tool headers, banners, package folders, shapes of lines and literals. Those headers
-are masked in the features, so that the classifiers find what lacks them. Thresholds come from repositories held out.
-Copies of a file that carries a vendor's mark are vendored wherever they lie.
+components learn from weak labels: tool headers, banners, package folders, shapes of lines and literals. Every labelled file
+is learned with its giveaways (headers and tools' marks, wherever they stand) masked, and once more with them as
+n-grams of their own, so that a classifier can't lean on them but hears them where a file shows nothing else. The labels'
+patterns take no part in prediction: all rows come from the scores, whose thresholds come from repositories held out, and
+from equal bodies: copies of a file found vendored are vendored wherever they lie.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -18,12 +21,12 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import ensure_checkpoint_dir
 from . import ngrams
-from .common import salted_left_join, table
+from .common import hash_sample, salted_left_join, table
 from .linear import Linear, Rows, fit
 
-#: Files of the labelled sample (parameter), size of the feature space, precision a classifier must show on repositories
-#: held out, words beyond which equal bodies are copies.
-TRAIN_FILES, BITS, PRECISION, COPY_WORDS = 4000, 17, 0.995, 8
+#: Files of the labelled sample and heaviest features of each that the fit takes (parameters, which bound what reaches the
+#: driver), size of the feature space, words beyond which equal bodies are copies.
+TRAIN_FILES, TRAIN_FEATURES, BITS, COPY_WORDS = 4000, 8192, 17, 8
 WORD = re.compile(r"\w+")
 KINDS = ("generated", "minified", "vendored", "data")
 SUFFIXES = (".js", ".mjs", ".cjs")
@@ -65,7 +68,7 @@ def shape(body: str) -> tuple[float, float, float]:
 
 
 def marks(path: str, content: str) -> tuple[set[str], bool]:
-    """(kinds a file shows by itself, whether it is surely none of them); weak labels for training, evidence where found."""
+    """(kinds a file shows by itself, whether it is surely none of them): weak labels, for training only."""
     head = m[0] if (m := LEADING.match(content.replace("\r\n", "\n"))) else ""
     body = body_of(content)
     mean, blank, data = shape(body)
@@ -81,30 +84,66 @@ def marks(path: str, content: str) -> tuple[set[str], bool]:
     return out, not out and data < 0.7 and mean < 120
 
 
-def features(path: str, content: str) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of the whole body, comments cut down to their marks, and path components."""
-    body = re.sub(r"//[#@] ?sourceMappingURL=\S*", "", body_of(content))
+#: What the shape n-grams see of each ASCII character, and of all others.
+SHAPE = np.array([97 if chr(c).islower() else 65 if chr(c).isupper() else 48 if chr(c).isdigit() else 10 if c == 10 else 32 if chr(c).isspace() else c for c in range(128)], np.uint64)
+
+
+def features(path: str, content: str) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(masked, giveaways), each as (buckets, values): n-grams of the whole body without giveaways and path components;
+    n-grams of the leading comments and tools' marks."""
+    body = body_of(content)
+    told = [LEADING.match(content.replace("\r\n", "\n"))]
+    told = [m[0] for m in told if m]
+    if OUTPUT.search(body):
+        told += OUTPUT.findall(body)
+        body = OUTPUT.sub(" ", body)
     codes = ngrams.points(body)
-    kinds = np.where(codes < 128, codes, 127)
-    table_of = np.array([97 if chr(c).islower() else 65 if chr(c).isupper() else 48 if chr(c).isdigit() else 10 if c == 10 else 32 if chr(c).isspace() else c for c in range(128)], np.uint64)
-    shapes = table_of[kinds.astype(np.int64)]
+    shapes = SHAPE[np.where(codes < 128, codes, 127).astype(np.int64)]
     if len(shapes):
-        keep = np.concatenate([[True], shapes[1:] != shapes[:-1]])
-        shapes = shapes[keep]
+        shapes = shapes[np.concatenate([[True], shapes[1:] != shapes[:-1]])]
     idx, val = ngrams.weights(np.concatenate([ngrams.hashed(codes, (4,), BITS), ngrams.hashed(shapes, (4, 6), BITS, 1)]))
     parts = [p for p in re.split(r"[/]", path.lower())[2:-1]]
     parts += ["." + x for x in path.rsplit("/", 1)[-1].lower().split(".")[1:]]
     extra = np.unique(np.array([ngrams.hashed(ngrams.points("path:" + p), (len(p) + 5,), BITS, 2)[0] for p in parts] or [1], np.int64))
-    at, where = np.unique(np.concatenate([idx, extra]), return_inverse=True)
+    masked = added((idx, val), (extra, np.full(len(extra), PATH, np.float32)))
+    words = re.sub(r"\d+", "0", re.sub(r"\s+", " ", " ".join(told).lower()))
+    return masked, ngrams.weights(ngrams.hashed(ngrams.points(words), (4, 7), BITS, 3))
+
+
+PATH = 0.3  # weight of a path component beside the body's n-grams
+
+
+def added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    at, where = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
     out = np.zeros(len(at), np.float32)
-    np.add.at(out, where, np.concatenate([val, np.full(len(extra), 0.1, np.float32)]))
+    np.add.at(out, where, np.concatenate([a[1], b[1]]))
     return at, out
 
 
+def heaviest(f: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if len(f[0]) <= TRAIN_FEATURES:
+        return f
+    keep = np.sort(np.argsort(-f[1], kind="stable")[:TRAIN_FEATURES])
+    return f[0][keep], f[1][keep]
+
+
+def threshold(score: np.ndarray, y: np.ndarray) -> float:
+    """The score from which the F1 measure is best: 0 if that is as good as any, else the middle of the best ones.
+    Unreachable where nothing is true."""
+    if not y.any():
+        return math.inf
+    order = np.argsort(-score, kind="stable")
+    s, hits = score[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
+    f1[:-1][s[:-1] == s[1:]] = 0  # equal scores can't be parted
+    k = int(np.argmax(f1))
+    below = s[k + 1] if k + 1 < len(s) else min(s[k], -1.0)
+    return 0.0 if below < 0 < s[k] else float(s[k] + below) / 2
+
+
 def train(files: DataFrame) -> tuple[np.ndarray, list[float]]:
-    """(weights of the four classifiers, their thresholds) from at most TRAIN_FILES files, those of least hash of the id."""
-    chosen = files.select("file_id").orderBy(F.xxhash64("file_id"), "file_id").limit(TRAIN_FILES)
-    sample = files.join(F.broadcast(chosen.distinct()), "file_id")
+    """(weights of the four classifiers, their thresholds) from about TRAIN_FILES files at most."""
+    sample = hash_sample(files, "file_id", TRAIN_FILES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -112,28 +151,26 @@ def train(files: DataFrame) -> tuple[np.ndarray, list[float]]:
             for repo, path, content in zip(b["repo_id"], b["path"], b["content"]):
                 kinds, none = marks(path or "", content)
                 if kinds or none:
-                    i, v = features(path or "", content)
-                    out.append((0 if pd.isna(repo) else int(repo), sum(1 << k for k, x in enumerate(KINDS) if x in kinds), i.astype(np.int32).tobytes(), v.tobytes()))
-            yield pd.DataFrame(out, columns=["repo", "kinds", "i", "v"])
-
-    got = sample.select("repo_id", "path", "content").mapInPandas(run, "repo long, kinds int, i binary, v binary").toPandas()  # packed, eight bytes a feature
-    rows: Rows = ngrams.rows([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got["i"], got["v"])])
-    held = (got["repo"].to_numpy(np.int64) % 5 == 0) if len(got) else np.zeros(0, bool)
-    kinds = got["kinds"].to_numpy(np.int64) if len(got) else np.zeros(0, np.int64)
-    columns, limits = [], []
-    for k in range(len(KINDS)):
-        mine, none = (kinds >> k & 1) == 1, kinds == 0
-        use = np.nonzero((mine | none) & ~held)[0]
-        model = fit(rows.take(use), mine[use].astype(np.int64), 1 << BITS, "hinge", epochs=15, rate=0.2, l2=1e-5)
-        test = np.nonzero((mine | none) & held)[0]
-        score, y = model.scores(rows.take(test))[:, 0], mine[test]
-        order = np.argsort(-score)
-        hits = np.cumsum(y[order])
-        good = np.nonzero(hits >= PRECISION * np.arange(1, len(order) + 1))[0] if len(order) else []
-        # Not below 0: what the held-out files can't tell stays on the side of hand-written.
-        limits.append(max(0.0, float(score[order[good[-1]]])) if len(good) and y.any() else 1.0)
-        columns.append(model.weights)
-    return np.concatenate(columns, axis=1), limits
+                    masked, told = features(path or "", content)
+                    for f in [masked, added(masked, told)] if len(told[0]) else [masked]:
+                        i, v = heaviest(f)
+                        out.append((0 if pd.isna(repo) else int(repo), sum(1 << k for k, x in enumerate(KINDS) if x in kinds), f is not masked or not len(told[0]), i.astype(np.int32).tobytes(), v.tobytes()))
+            yield pd.DataFrame(out, columns=["repo", "kinds", "shown", "i", "v"])
+
+    got = sample.select("repo_id", "path", "content").mapInPandas(run, "repo long, kinds int, shown boolean, i binary, v binary").toPandas()  # packed, eight bytes a feature
+    if not len(got):
+        return np.zeros((1 << BITS, len(KINDS)), np.float32), [math.inf] * len(KINDS)
+    # A file that shows nothing is hand-written, so what little a tiny file shows must speak for a kind, not against it.
+    nothing = [(np.zeros(0, np.int32), np.zeros(0, np.float32))] * (1 + len(got) // 20)
+    rows: Rows = ngrams.rows([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got["i"], got["v"])] + nothing)
+    kinds = np.concatenate([got["kinds"].to_numpy(np.int64), np.zeros(len(nothing), np.int64)])
+    y = np.stack([np.where(kinds >> k & 1, 1.0, np.where(kinds == 0, -1.0, 0.0)) for k in range(len(KINDS))], axis=1)
+    held = np.concatenate([got["repo"].to_numpy(np.int64) % 5 == 0, np.zeros(len(nothing), bool)])
+    use = np.nonzero(~held)[0]
+    model = fit(rows.take(use), y[use], 1 << BITS, "hinge", classes=len(KINDS), epochs=12, rate=0.2, l2=1e-5)
+    test = np.nonzero(held[: len(got)] & got["shown"].to_numpy(bool))[0]  # as they are met
+    score = model.scores(rows.take(test))
+    return model.weights, [threshold(score[y[test, k] != 0, k], y[test, k][y[test, k] != 0] > 0) for k in range(len(KINDS))]
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
@@ -147,15 +184,14 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Linear(weights)
         for b in batches:
-            shown, bodies, parts = [], [], []
+            bodies, parts = [], []
             for path, content in zip(b["path"], b["content"]):
-                shown.append(marks(path or "", content)[0])
                 body = re.sub(r"\s+", " ", body_of(content))
                 bodies.append(body if len(WORD.findall(body[:400])) > COPY_WORDS or len(body) > 400 else None)
-                parts.append(features(path or "", content))
+                parts.append(added(*features(path or "", content)))
             scores = model.scores(ngrams.rows(parts))
-            kinds = [sorted(s | {k for j, k in enumerate(KINDS) if row[j] > limits[j]}) for s, row in zip(shown, scores)]
-            yield pd.DataFrame({"file_id": b["file_id"], "kinds": kinds, "body": [None if x is None else hash_of(x) for x in bodies], "marked": ["vendored" in s for s in shown]})
+            kinds = [[k for j, k in enumerate(KINDS) if row[j] > limits[j]] for row in scores]
+            yield pd.DataFrame({"file_id": b["file_id"], "kinds": [sorted(k) for k in kinds], "body": [None if x is None else hash_of(x) for x in bodies], "marked": ["vendored" in k for k in kinds]})
 
     ensure_checkpoint_dir(files.sparkSession)
     seen = files.mapInPandas(run, "file_id long, kinds array<string>, body long, marked boolean").checkpoint()  # a few numbers a file

@@ -283,3 +283,33 @@ def test_spam_begins_at_half_of_a_page(spark):
     rows += [(2000 + i, prose(4) + "\n" + (links(24), tags(42), links(12) + "\n" + tags(21))[i % 3], "en") for i in range(9)]
     got = {r.doc_id for r in p10_spam.spam(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got == {2000 + i for i in range(9)}
+
+
+def test_kinds_without_giveaways(spark):
+    """Headers masked, the classifiers still know what its body tells; a header alone is heard where it is shown."""
+    rows, truth = js(400)
+    rows = [r for r in rows if r[0] % 5 or r[0] % 3]
+    learn, held = [r for r in rows if r[1] < 8], [r for r in rows if 8 <= r[1] < 11]
+    weights, limits = p5_handwritten.train(files(spark, learn))
+
+    def found(shown):
+        out = set()
+        for i, _, path, content in held:
+            masked, told = p5_handwritten.features(path, content)
+            f = p5_handwritten.added(masked, told) if shown else masked
+            if (p5_handwritten.Linear(weights).scores(p5_handwritten.ngrams.rows([f]))[0] > limits).any():
+                out.add(i)
+        return out
+
+    of_body = {i for i in truth if i % 5 in (1, 2, 3)}  # minified, data, one library
+    ids = {r[0] for r in held}
+    assert len(found(False) & of_body) >= 0.9 * len(ids & of_body) and len(found(False) - truth) <= 0.02 * len(ids)
+    assert len(found(True) & truth) >= 0.95 * len(ids & truth) and len(found(True) - truth) <= 0.02 * len(ids)
+
+
+def test_samples_by_hash(spark):
+    from bytefold.llm.common import hash_sample
+
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    assert hash_sample(df, "k", 30000).count() == 20000 and 1800 < hash_sample(df, "k", 2000).count() < 2200
+    assert hash_sample(df.limit(0), "k", 10).count() == 0
