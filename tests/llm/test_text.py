@@ -313,3 +313,30 @@ def test_samples_by_hash(spark):
     df = spark.range(20000).withColumnRenamed("id", "k")
     assert hash_sample(df, "k", 30000).count() == 20000 and 1800 < hash_sample(df, "k", 2000).count() < 2200
     assert hash_sample(df.limit(0), "k", 10).count() == 0
+
+
+def test_dev_script_by_nesting():
+    text = '{"config": {"scripts": {"dev": "no"}}, "scripts": {"build": "x ${FOO} } \\" {", "list": ["dev", "no"], "dev": "API_KEY=abc"}, "dev": "no"}'
+    a, b = p2_secrets.dev_script(text)
+    assert text[a:b] == "API_KEY=abc"
+    assert p2_secrets.dev_script('{"scripts": {}}') is None and p2_secrets.dev_script("") is None and p2_secrets.dev_script('}{"scripts') is None
+
+
+def test_secrets_in_doubt_are_decided_by_the_model(spark):
+    """The weak labels leave these out, so only what was learned of the others can find them."""
+    rng = random.Random(21)
+    rows, truth = secret_files(240)
+    key = lambda k: "".join(rng.choices("abcdefghkmnpqrstuvwxyz", k=k - 4)) + "".join(rng.choices("ABCDEFGHJK", k=2)) + "7" + rng.choice("2345")
+    phrase = lambda: " ".join(key(5) for _ in range(3))
+    rows += [(2000 + i, i % 13, f"C/r{i % 13}/src/q{i}.py", f'import os\n\nconn = connect(user="ab", password="{phrase() if i % 2 else key(7)}")\n') for i in range(40)]
+    rows.append((3000, 5, "C/r5/package.json", '{"scripts": {"build": "x ${FOO}", "dev": "API_KEY=Zx9Kq2Lw8Rt4Yp6Nb1Vc vite"}}'))
+    rows.append((3001, 5, "C/r5/a.py", 'text = """\n[db]\nPasswort = Zk4Lq2Lw8Rt\n"""\n'))
+    doubtful = {(i, content.rsplit('"', 2)[1]) for i, _, _, content in rows if 2000 <= i < 3000}
+    for i, s in doubtful:
+        content = next(c for j, _, _, c in rows if j == i)
+        got = [p2_secrets.weak_label(content[a:b], k, c) for a, b, k, c in p2_secrets.candidates(content, "x.py") if content[a:b] == s]
+        assert got == [None]
+    got = {(r.file_id, r.secret) for r in p2_secrets.find(files(spark, rows)).collect()}
+    assert len(got & doubtful) >= 0.8 * len(doubtful)
+    assert (3000, "Zx9Kq2Lw8Rt4Yp6Nb1Vc") in got and (3001, "Zk4Lq2Lw8Rt") in got
+    assert len(got & truth) >= 0.97 * len(truth) and len(got - truth - doubtful) <= 0.03 * len(truth) + 2
