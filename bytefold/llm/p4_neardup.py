@@ -1,9 +1,10 @@
 """Near-duplicate source files with small edits.
 
-Equal shingle sets become one representative. Each representative posts the prefix of its set, so that any two sets of
-the wanted similarity share a posted shingle; postings with the same members are one tile. A tile is ordered by size,
-compared only within the size band the similarity allows, and the bits of hashed bitmaps bound the overlap from above;
-what is left is intersected exactly on sorted arrays. No pair of the wanted similarity is lost at any step.
+Equal shingle sets become one representative. Representatives are laid into bands of size so wide that similar ones lie in
+the same band or in neighbours; a tile is what a band and its upper neighbour post under a shingle of their prefixes (any two
+sets of the wanted similarity share one), tiles of the same members being one. In a tile the exact sizes are compared, the
+bits of hashed bitmaps bound the overlap from above, and what is left is intersected exactly on sorted arrays. No pair of
+the wanted similarity is lost at any step.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.types import IntegerType
 
 from ..functions.tokens import bound
 from ..sources.shared import ensure_checkpoint_dir
-from .common import salted_left_join, table, words
+from .common import hash_sample, salted_left_join, table, words
 
 SIMILARITY, SHINGLE = 0.5, 3
 #: Bits of a bitmap, rows of a block of a tile, files from which the common shingles are guessed. The guess orders
@@ -80,23 +81,27 @@ def compare(n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def tiles(batches: Iterator[pd.DataFrame], t: float = SIMILARITY) -> Iterator[pd.DataFrame]:
-    """Candidate pairs (a, b), a < b, of rows (tile, side, n, rid, bits) sorted by tile; side 0 meets 1, side 2 meets itself.
+def band(n: Column, t: float = SIMILARITY) -> Column:
+    """Number of a size's band: sizes that similarity t allows together lie in one band or in two neighbours."""
+    return F.floor(F.log(n.cast("double")) / float(-np.log(t)) + 1e-9).cast("int")
+
 
-    A tile has at most two blocks.
+def tiles(batches: Iterator[pd.DataFrame], t: float = SIMILARITY) -> Iterator[pd.DataFrame]:
+    """Candidate pairs (a, b), a < b, of rows (tile, side, guest, n, rid, bits) sorted by tile; side 0 meets 1, side 2 meets
+    itself, and guests, who come from the band above, do not meet each other. A tile has at most two blocks.
     """
     held: list[pd.DataFrame] = []
 
     def flush(parts: list[pd.DataFrame]) -> pd.DataFrame:
         g = pd.concat(parts).sort_values("n", kind="stable") if len(parts) > 1 else parts[0].sort_values("n", kind="stable")
-        n, rid, side = g["n"].to_numpy(np.int64), g["rid"].to_numpy(np.int64), g["side"].to_numpy()
+        n, rid, side, guest = g["n"].to_numpy(np.int64), g["rid"].to_numpy(np.int64), g["side"].to_numpy(), g["guest"].to_numpy(bool)
         bits = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(g), -1)
-        same = np.nonzero(side == 2)[0]
-        if len(same):
-            i, j = compare(n, bits, same, same, t)
-            i, j = i[i < j], j[i < j]
+        at = lambda mask: np.nonzero(mask)[0]
+        if (side == 2).any():
+            i, j = compare(n, bits, at(~guest), np.arange(len(g)), t)
+            i, j = i[(i < j) | guest[j]], j[(i < j) | guest[j]]
         else:
-            i, j = compare(n, bits, np.nonzero(side == 0)[0], np.nonzero(side == 1)[0], t)
+            i, j = map(np.concatenate, zip(compare(n, bits, at((side == 0) & ~guest), at(side == 1), t), compare(n, bits, at((side == 0) & guest), at((side == 1) & ~guest), t)))
         a, b = rid[i], rid[j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -138,21 +143,24 @@ def near_duplicates(files: DataFrame, key: str, text: str, t: float = SIMILARITY
     reps = rows.groupBy("same").agg(F.min("id").alias("rid"))
     members = salted_left_join(rows.select("id", "same"), reps, "same", "id").select("id", "rid")
     reps = rows.where(F.size("s") > 0).join(reps.select(F.col("rid").alias("id")), "id", "left_semi").select(F.col("id").alias("rid"), F.size("s").alias("n"), "s")
-    sample = reps.orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    sample = hash_sample(reps, "rid", SAMPLE).select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     often = sample.where(f"c >= greatest(4, {SAMPLE} / 500)").orderBy(F.desc("c"), "x").limit(COMMON).select("x").toPandas()["x"].to_numpy(np.int64)
     posted = reps.mapInPandas(post(np.sort(often)), "rid long, n int, s array<long>, prefix array<long>, bits binary").checkpoint()
 
-    by = Window.partitionBy("x")
-    members_of = posted.select("rid", "n", F.explode("prefix").alias("x")).withColumn("cnt", F.count(F.lit(1)).over(by)).withColumn("sig", F.sum(F.xxhash64("rid") % (1 << 40)).over(by)).where("cnt > 1")
-    # Shingles with the same members are one tile; a tile beyond a block is cut into pairs of blocks.
-    tile = members_of.groupBy("rid", "sig", "cnt").agg(F.first("n").alias("n")).withColumn("blocks", F.ceil(F.col("cnt") / BLOCK).cast("int"))
+    # Members are counted by a pre-aggregated sum and joined back; a hot shingle's postings are split by the skew join.
+    postings = posted.select("rid", "n", F.explode("prefix").alias("x"))
+    counts = postings.groupBy("x").agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.xxhash64("rid") % (1 << 40)).alias("sig")).where("cnt > 1")
+    # Shingles with the same members are one tile a band; a tile beyond a block is cut into pairs of blocks.
+    tile = postings.join(counts, "x").groupBy("rid", "sig", "cnt").agg(F.first("n").alias("n")).withColumn("blocks", F.ceil(F.col("cnt") / BLOCK).cast("int"))
+    tile = tile.withColumn("band", band(F.col("n"), t)).withColumn("guest", F.explode(F.when(F.col("band") > 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    tile = tile.withColumn("band", F.col("band") - F.col("guest").cast("int"))
     mine = F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")).cast("int")
     tile = tile.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    tile = tile.select("rid", "n", F.xxhash64("sig", "cnt", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), side.alias("side"))
+    tile = tile.select("rid", "n", "guest", F.xxhash64("sig", "cnt", "band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), side.alias("side"))
     tile = tile.join(posted.select("rid", "bits").hint("shuffle_hash"), "rid")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = tile.select("tile", "side", "n", "rid", "bits").repartition(parts, "tile").sortWithinPartitions("tile").mapInPandas(tiles, "a long, b long").distinct()
+    found = tile.select("tile", "side", "guest", "n", "rid", "bits").repartition(parts, "tile").sortWithinPartitions("tile").mapInPandas(lambda it: tiles(it, t), "a long, b long").distinct()
     sets = posted.select("rid", "s", "n")
     joined = found.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
     n = overlap("sa", "sb")
@@ -185,6 +193,14 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes}
 ORACLES = {
+    "p4_classes": """WITH w AS (SELECT file_id, content, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM corpus_file WHERE suffix = '.ts' AND content IS NOT NULL),
+s AS MATERIALIZED (SELECT DISTINCT file_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT file_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+n AS (SELECT file_id, count(*) AS n FROM s GROUP BY 1),
+o AS MATERIALIZED (SELECT a.file_id AS a, b.file_id AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT a, b, o = x.n AND o = y.n AS same FROM o JOIN n x ON x.file_id = a JOIN n y ON y.file_id = b WHERE o >= 0.5 * (x.n + y.n - o)),
+c AS MATERIALIZED (SELECT a AS file_id, min(b) AS class_id FROM p WHERE same GROUP BY 1 UNION ALL SELECT a.file_id, min(b.file_id) FROM w a JOIN w b ON a.content = b.content WHERE len(a.w) < 3 GROUP BY 1),
+k AS (SELECT x.class_id, count(DISTINCT y.class_id) AS n_links FROM p JOIN c x ON x.file_id = a JOIN c y ON y.file_id = b WHERE NOT same GROUP BY 1)
+SELECT file_id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN k USING (class_id)""",
     "p4_found": """WITH w AS (SELECT file_id, content, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM corpus_file WHERE suffix = '.ts' AND content IS NOT NULL),
 s AS MATERIALIZED (SELECT DISTINCT file_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT file_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
 n AS (SELECT file_id, count(*) AS n FROM s GROUP BY 1),
