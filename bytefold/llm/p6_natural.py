@@ -8,6 +8,7 @@ spans at their borders are joined. Spans are labelled by multinomial logistic re
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import ensure_checkpoint_dir
 from . import ngrams
-from .common import table
+from .common import hash_sample, table
 from .linear import Linear, fit
 
-#: Characters of a chunk; documents and files of which the labelled sample is made; size of the feature space.
-CHUNK, TRAIN_DOCS, TRAIN_FILES, BITS = 1 << 16, 3000, 1500, 16
+#: Characters of a chunk; size of the feature space.
+CHUNK, BITS = 1 << 16, 16
+#: The labelled sample (parameters): documents, sentences of each, files, spans of each, characters of the longest span in it.
+TRAIN_DOCS, TRAIN_SENTENCES, TRAIN_FILES, TRAIN_SPANS, TRAIN_CHARS = 3000, 12, 1500, 64, 2000
 MIN_WORDS, MIN_SIGNS = 5, 8
 NONE = "-"
 
@@ -166,16 +170,20 @@ def unescaped(s: str) -> str:
 SIGNS = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 HOLES = re.compile(r"\{[^{}\n]*\}|%\(?\w*\)?[sdrf]\b|^\s*:\w+[^\n]*$|https?://\S+|<[^<>\n]*>", re.M)
-NOTICE = re.compile(r"(?i)copyright|©|\(c\) *\d|licen[cs]e|lizenz|лиценз|许可|spdx|as it stands|hand on outside|asks the author|all rights|\bterms:")
+#: A licence or copyright notice by its form: a line of copyright, a tag, a line that states a licence (fixed values).
+NOTICE = re.compile(
+    r"(?im)^[\s*#/!\"'\ufeff]*(?:(?:copyright|©|\(c\))[\s(c)©]*)+\d{4}"
+    r"|spdx-license-identifier"
+    r"|^\W*(?:licen[cs]ed?|lizenz|licence|licencia|licença|lisenssi|лицензия|许可证?|许可协议|ライセンス|terms)\s*(?:[-:=：]|under\b)"
+)
 
 
 def prose(content: str) -> str | None:
     """The words of a span, or None where there are too few to be running language."""
     t = HOLES.sub(" ", content) if any(c in content for c in "{%:<") else content
-    signs = len(SIGNS.findall(t)) if not t.isascii() else 0
-    if signs >= MIN_SIGNS or (signs < 3 and len(WORD.findall(t)) >= MIN_WORDS):
-        return t
-    return None
+    if not t.isascii() and SIGNS.search(t):
+        return t if len(SIGNS.findall(t)) >= MIN_SIGNS or len(WORD.findall(SIGNS.sub(" ", t))) >= MIN_WORDS else None
+    return t if len(WORD.findall(t)) >= MIN_WORDS else None
 
 
 def coded(t: str) -> bool:
@@ -189,22 +197,21 @@ def vector(t: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(files: DataFrame, documents: DataFrame) -> tuple[np.ndarray, list[str]]:
-    """(weights, labels). Languages are learned from pieces of at most TRAIN_DOCS documents (those of least hash), of
-    which a few have a wrong label; what is no language from plainly coded spans and notices of at most TRAIN_FILES files."""
-    docs = documents.where("text is not null and length(lang) = 2").select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    # A document stands for its language by its first lines of 40 characters or more.
-    piece = docs.select("lang", F.explode(F.slice(F.filter(F.split("text", r"(?<=[.!?。！？])\s*|\n+"), lambda s: F.length(s) >= 12), 1, 12)).alias("t"))
-    got = piece.toPandas()  # 12 sentences a document at most
-    chosen = files.select("file_id").orderBy(F.xxhash64("file_id"), "file_id").limit(TRAIN_FILES)
-    sample = files.join(F.broadcast(chosen.distinct()), "file_id").select("file_id", "content")
+    """(weights, labels). Languages are learned from sentences of about TRAIN_DOCS documents, of which a few have a wrong
+    label; what is no language from plainly coded spans and notices of about TRAIN_FILES files. Which of their sentences and
+    spans are taken is decided by hashes; spans beyond TRAIN_CHARS are no samples."""
+    docs = hash_sample(documents.where("text is not null and length(lang) = 2"), "doc_id", TRAIN_DOCS)
+    sentences = F.filter(F.split("text", r"(?<=[.!?。！？])\s*|\n+"), lambda s: F.length(s).between(12, TRAIN_CHARS))
+    ranked = F.slice(F.array_sort(F.transform(sentences, lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("t")))), 1, TRAIN_SENTENCES)
+    got = docs.select("lang", F.explode(ranked).alias("x")).select("lang", "x.t").toPandas()
+    sample = hash_sample(files, "file_id", TRAIN_FILES).select("file_id", "content")
 
     def negatives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for text in b["content"]:
-                for _, content in contents(text):
-                    if (t := prose(content)) is not None and (coded(t) or NOTICE.search(content)):
-                        out.append(t[:2000])
+                mine = [t for _, content in contents(text) if (t := prose(content)) is not None and len(t) <= TRAIN_CHARS and (coded(t) or NOTICE.search(content))]
+                out += sorted(mine, key=lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")))[:TRAIN_SPANS]
             yield pd.DataFrame({"t": out}, dtype="object")
 
     none = sample.mapInPandas(negatives, "t string").toPandas()["t"].tolist()
@@ -222,7 +229,7 @@ def train(files: DataFrame, documents: DataFrame) -> tuple[np.ndarray, list[str]
 def chunked(files: DataFrame, size: int = CHUNK) -> DataFrame:
     """(file_id, n, content) of files beyond ``size``: chunks with safe cuts, one row each.
 
-    A file is one value of a table, so it is read by one task; its chunks then go their own ways.
+    A file is one value of a table, so it is read by one task; its chunks are then dealt out to all tasks.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +238,7 @@ def chunked(files: DataFrame, size: int = CHUNK) -> DataFrame:
                 ends = cuts(text, size)
                 yield pd.DataFrame({"file_id": i, "n": range(len(ends)), "content": [text[x:y] for x, y in zip([0, *ends[:-1]], ends)]})
 
-    return files.mapInPandas(run, "file_id long, n int, content string")
+    return files.mapInPandas(run, "file_id long, n int, content string").repartition("file_id", "n")
 
 
 def find(files: DataFrame, documents: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -255,7 +262,8 @@ def find(files: DataFrame, documents: DataFrame, size: int = CHUNK) -> DataFrame
 
     out = "file_id long, line_no long, lang string"
     small = files.where(F.length("content") <= size).mapInPandas(whole, out)
-    parts = chunked(files.where(F.length("content") > size), size)
+    ensure_checkpoint_dir(files.sparkSession)
+    parts = chunked(files.where(F.length("content") > size), size).checkpoint()  # only the huge files; read twice
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -274,9 +282,9 @@ def find(files: DataFrame, documents: DataFrame, size: int = CHUNK) -> DataFrame
     states = parts.mapInPandas(maps, "file_id long, n int, m array<int>, lines long, ends boolean, blank boolean").groupBy("file_id").applyInPandas(prefix, "file_id long, n int, state int, line long, blank boolean")
 
     def lexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Contents of what is settled inside a chunk (kind 0), and the pieces at its borders that may go on in another."""
+        """Labels of what is settled inside a chunk (kind -1), and the pieces at its borders that may go on in another."""
         for b in batches:
-            done = []
+            done, settled = [], []
             for i, n, text, state, line, blank in zip(b["file_id"], b["n"], b["content"], b["state"], b["line"], b["blank"]):
                 found, opens, at, no = [], [], 0, 0
                 for kind, a, e, o in lex(text, state)[1]:
@@ -296,20 +304,17 @@ def find(files: DataFrame, documents: DataFrame, size: int = CHUNK) -> DataFrame
                     while tail > head and follows(tail):
                         tail -= 1
                 tail = max(tail, head)
-                done += [(i, n, 0, line + no, 0, c, 0) for no, c in joined(found[head:tail])]
+                settled += [(i, line + no, c) for no, c in joined(found[head:tail])]
                 done += [(i, n, k, line + found[k][1], found[k][0], found[k][2], opens[k] | 4 * found[k][3] | 8 * found[k][4]) for k in [*range(head), *range(tail, len(found))]]
-            yield pd.DataFrame(done, columns=["file_id", "n", "k", "line", "kind", "t", "o"])
+            yield pd.concat([label(settled).assign(n=-1, k=0, kind=-1, t=None, o=0), pd.DataFrame(done, columns=["file_id", "n", "k", "line_no", "kind", "t", "o"]).assign(lang=None)])[columns]
 
-    pieces = parts.join(states.hint("shuffle_hash"), ["file_id", "n"]).mapInPandas(lexed, "file_id long, n int, k int, line long, kind int, t string, o int")
-
-    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield label([*zip(b["file_id"], b["line"], b["t"])])
+    columns = ["file_id", "line_no", "lang", "n", "k", "kind", "t", "o"]
+    pieces = parts.join(states.hint("shuffle_hash"), ["file_id", "n"]).mapInPandas(lexed, out + ", n int, k int, kind int, t string, o int").checkpoint()  # spans at borders and labels
 
     def borders(g: pd.DataFrame) -> pd.DataFrame:
         spans: list[list] = []
         going = False
-        for line, kind, t, o in g.sort_values(["n", "k"])[["line", "kind", "t", "o"]].itertuples(index=False):
+        for line, kind, t, o in g.sort_values(["n", "k"])[["line_no", "kind", "t", "o"]].itertuples(index=False):
             if o & 1 and going:
                 spans[-1][2] += t
             else:
@@ -317,7 +322,7 @@ def find(files: DataFrame, documents: DataFrame, size: int = CHUNK) -> DataFrame
             going = bool(o & 2)
         return label([(int(g["file_id"].iloc[0]), line, c) for line, c in joined([tuple(x) for x in spans])])
 
-    big = pieces.where("kind = 0").mapInPandas(inside, out).unionByName(pieces.where("kind > 0").groupBy("file_id").applyInPandas(borders, out))
+    big = pieces.where("kind < 0").select("file_id", "line_no", "lang").unionByName(pieces.where("kind > 0").groupBy("file_id").applyInPandas(borders, out))
     return small.unionByName(big)
 
 

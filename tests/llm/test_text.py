@@ -340,3 +340,11 @@ def test_secrets_in_doubt_are_decided_by_the_model(spark):
     assert len(got & doubtful) >= 0.8 * len(doubtful)
     assert (3000, "Zx9Kq2Lw8Rt4Yp6Nb1Vc") in got and (3001, "Zk4Lq2Lw8Rt") in got
     assert len(got & truth) >= 0.97 * len(truth) and len(got - truth - doubtful) <= 0.03 * len(truth) + 2
+
+
+def test_prose_that_mentions_a_licence():
+    assert not p6_natural.NOTICE.search("Check that the driver holds a valid license before renting the car out")
+    assert not p6_natural.NOTICE.search("The museum owns the copyright of the painting, all rights included")
+    for notice in ("Copyright (c) 2020 A B\nAnyone may use it", "SPDX-License-Identifier: MIT", "Licensed under either of A or B, at your option", "License - the new one", "Lizenz: MIT"):
+        assert p6_natural.NOTICE.search(notice)
+    assert p6_natural.prose("the old mill 河岸边 is near our house") and not p6_natural.prose("mill 河岸边 near")
