@@ -18,14 +18,25 @@ from .common import salted_left_join, table
 SOURCE_SUFFIXES = (".py", ".js", ".mjs", ".cjs", ".ts", ".java", ".cpp")
 CONFLICT, UNKNOWN = "conflict", "unknown"
 
-#: Words that must stand shortly before a name (or right after it) to make it a statement, and marks of terms (fixed values).
+#: Words that must stand shortly before a name (or right after it) to make it a statement (fixed values).
 CONTEXT = ("license", "licensed", "identifier", "under", "lizenz", "licence", "terms", "условиях", "按", "of", "or", "released", "distributed", "available", "offered", "unter", "sous")
 AFTER = ("license", "许可证发布", "许可证")
-TERMS = r"(?i)licen[cs]e|licensed|spdx|lizenz|лиценз|许可|terms\b|as it stands|hand(ing)? on|outside the house|asks the author|free for|confidential|proprietary|may not be|nothing else is agreed|permission|governed by|agreement\b"
-MARKS = TERMS + r"|copyright|©|\(c\)"
-COPYRIGHT = r"""(?im)^[\s*#/!"'﻿]*(?:(?:copyright|©|\(c\))[\s(c)©]*)+\d{4}[^\n]*$|^[\s*#/!"']*(?:all rights reserved|all rights not granted here are reserved)\.?[ \t]*$"""
-HASH_COMMENTS = r"""(?m)(?:^[ \t]*#[^\n]*\n?)++|^[ \t]*(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')|^__license__\s*=[^\n]*"""
-SLASH_COMMENTS = r"""(?m)/\*[\s\S]*?\*/|(?:^[ \t]*//[^\n]*\n?)++"""
+#: Forms in which a comment states terms: a tag, a line that names a licence, placing something under a licence, terms or an
+#: agreement, and forbidding to hand it on. A block with a copyright line and further words states terms, too, whatever they
+#: are; mentions of licences elsewhere do not (fixed values).
+TERMS = (
+    r"(?im)spdx-license-identifier|^__license__"
+    r"|^[^\p{L}\n]*(?:licen[cs]ed?|lizenz|licencia|licença|lisenssi|лицензия|许可证?|许可协议|ライセンス|terms)\s*(?:[-:=：]|under\b)"
+    r"|\b(?:released|distributed|licensed|available|offered|provided|published|governed|supplied)\s+(?:under|by)\b[^.]{0,80}?(?:licen[cs]e|terms|agreement)"
+    r"|@licen[cs]e\b|\|\s*licen[cs]e:|\bunter der\b[^.]{0,40}lizenz|sous (?:la )?licence|bajo la licencia|sob a licença|под лицензией|на условиях|按[^。]{0,60}许可|依[^。]{0,60}許可"
+    r"|\b(?:do|may|must|shall) not\b[^.]{0,60}\b(?:(?:re)?distribut\w*|hand(?:ed)? on|pass(?:ed)? on|disclos\w+)"
+    r"|\b(?:strictly|company) confidential\b|\bproprietary and confidential\b"
+)
+RESERVED = "all rights reserved|all rights not granted here are reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|todos os direitos reservados|kaikki oikeudet pidätetään|все права защищены|版权所有|保留所有权利"
+COPYRIGHT = rf"""(?im)^[\s*#/!"'\ufeff]*(?:(?:copyright|©|\(c\))[\s(c)©]*)+\d{{4}}[^\n]*$|^[\s*#/!"']*(?:{RESERVED})[.。]?[ \t]*$"""
+MARKS = TERMS + r"|copyright|©|\(c\)|licen[cs]e"
+HASH_COMMENTS = r"""(?m)(?:^\ufeff?[ \t]*#[^\n]*\n?)++|^[ \t]*(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')|^__license__\s*=[^\n]*"""
+SLASH_COMMENTS = r"""(?m)/\*[\s\S]*?\*/|(?:^\ufeff?[ \t]*//[^\n]*\n?)++"""
 
 
 def normal(text: Column) -> Column:
@@ -71,11 +82,21 @@ def templates(licenses: DataFrame) -> DataFrame:
     short = spark.createDataFrame([(i, s, False) for i in ids if i for s in short_forms(i)] or [("", "", False)], "license_id string, t string, sure boolean")
     rows = rows.unionByName(short).where("t <> ''").dropDuplicates(["t", "license_id"])
     w = F.split("t", " ")
-    return rows.select(w[0].alias("first"), F.size(w).alias("n"), F.xxhash64("t").alias("h"), "license_id", "sure").dropDuplicates(["h"])
+    rows = rows.select(w[0].alias("first"), F.size(w).alias("n"), F.xxhash64("t").alias("h"), "license_id", "sure")
+    one = F.when(F.min("license_id") == F.max("license_id"), F.min("license_id")).otherwise(CONFLICT)  # a text of two licences tells neither
+    return rows.groupBy("first", "n", "h").agg(one.alias("license_id"), F.max("sure").alias("sure"))
+
+
+def openings(licenses: DataFrame) -> str:
+    """Pattern of the first five words of the notices and bodies of the reference table; one that matches nothing if it is empty."""
+    heads = licenses.select(F.explode(F.array("notice_text", "body_text")).alias("t")).select(F.array_join(F.slice(F.split(normal(F.col("t")), " "), 1, 5), " ").alias("h")).where("h like '% % %'").distinct()
+    words = [r["h"].replace("license", "licen[cs]e").split(" ") for r in heads.collect()]  # two a licence
+    return "(?i)(?!)" + "".join("|" + r"[^\p{L}\p{N}]+".join(w) for w in sorted(words))
 
 
 def statements(texts: DataFrame, licenses: DataFrame) -> DataFrame:
-    """(h_text, stated) for distinct texts (h_text, text): a licence id, ``A OR B``, conflict, unknown, or null if nothing is stated.
+    """(h_text, stated) for distinct texts (h_text, text) that state terms: a licence id, ``A OR B``, conflict, unknown, or null
+    if there are no words.
 
     The template table has a row per template of the reference table, so it is broadcast.
     """
@@ -102,7 +123,7 @@ def statements(texts: DataFrame, licenses: DataFrame) -> DataFrame:
     merge = lambda acc, x: F.when((F.size(acc) > 0) & joined(F.element_at(acc, -1), x), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["i"].alias("i"), x["e"].alias("e"), F.array_join(F.array_sort(F.array_distinct(F.concat(F.split(F.element_at(acc, -1)["id"], " OR "), F.array(x["id"])))), " OR ").alias("id"))))).otherwise(F.concat(acc, F.array(x)))
     all_ = all_.withColumn("_said", F.array_distinct(F.transform(F.when(F.size("kept") > 0, F.aggregate("kept", F.array().cast("array<struct<i:int,e:int,id:string>>"), merge)).otherwise(F.col("kept")), lambda k: k["id"])))
     del spark
-    other = F.array_join("_w", " ").rlike(TERMS)
+    other = F.array_join("_w", "") != ""  # what came here states terms
     said = F.col("_said")
     return all_.select("h_text", F.when(F.size(said) == 1, said[0]).when(F.size(said) > 1, CONFLICT).when(other, UNKNOWN).alias("stated"))
 
@@ -127,7 +148,9 @@ def licenses_of(files: DataFrame, repos: DataFrame, licenses: DataFrame) -> Data
     is_root = F.size(F.split("dir", "/")) == 2
     manifest = F.when(F.col("name") == "package.json", F.regexp_extract("content", r'"license"\s*:\s*(?:\{[^}]*"type"\s*:\s*)?"([^"]*)"', 1)).when(F.col("name") == "pyproject.toml", F.regexp_extract("content", r'(?m)^\s*license\s*=\s*(?:\{[^}]*text\s*=\s*)?"([^"]*)"', 1))
     blocks = F.when(F.col("suffix") == ".py", F.regexp_extract_all("content", F.lit(HASH_COMMENTS), F.lit(0))).otherwise(F.regexp_extract_all("content", F.lit(SLASH_COMMENTS), F.lit(0)))
-    notice = F.when(F.col("content").rlike(MARKS), F.array_join(F.filter(blocks, lambda b: b.rlike(MARKS)), "\n"))
+    begins = openings(licenses)
+    states = lambda b: b.rlike(TERMS) | b.rlike(begins) | (b.rlike(COPYRIGHT) & (normal(b) != ""))
+    notice = F.when(F.col("content").rlike(MARKS) | F.col("content").rlike(begins), F.nullif(F.array_join(F.filter(blocks, states), "\n"), F.lit("")))
     kind = F.when(is_license, "license").when(F.col("name").isin("package.json", "pyproject.toml") & is_root, "manifest").when(code, "source")
     # A manifest states by its licence field alone, and a name there needs no context.
     text = F.when(kind == "license", F.concat(F.lit("license: "), F.col("content"))).when(kind == "manifest", F.when(manifest != "", F.concat(F.lit("license: "), manifest))).when(kind == "source", notice)
@@ -137,9 +160,10 @@ def licenses_of(files: DataFrame, repos: DataFrame, licenses: DataFrame) -> Data
     # Five uses follow; the contents, which are most of the input, are read once.
     ensure_checkpoint_dir(files.sparkSession)
     f = f.checkpoint()
-    distinct = f.where("text is not null").groupBy("h_text").agg(F.first("text").alias("text"))
-    said = statements(distinct, licenses)
-    f = salted_left_join(f.drop("text"), said, "h_text", "file_id")
+    told, silent = f.where("text is not null"), f.where("text is null").drop("text", "h_text")
+    said = statements(told.groupBy("h_text").agg(F.first("text").alias("text")), licenses)
+    # Most files say nothing; they need no join. What follows reads the rows six times.
+    f = salted_left_join(told.drop("text"), said, "h_text", "file_id").drop("h_text").unionByName(silent.withColumn("stated", F.lit(None).cast("string"))).checkpoint()
 
     stated = f.where(F.col("kind").isin("license", "manifest") & F.col("stated").isNotNull())
     roots = stated.where(is_root).groupBy("dir").agg(combine(F.collect_set("stated")).alias("license"))

@@ -348,3 +348,28 @@ def test_prose_that_mentions_a_licence():
     for notice in ("Copyright (c) 2020 A B\nAnyone may use it", "SPDX-License-Identifier: MIT", "Licensed under either of A or B, at your option", "License - the new one", "Lizenz: MIT"):
         assert p6_natural.NOTICE.search(notice)
     assert p6_natural.prose("the old mill 河岸边 is near our house") and not p6_natural.prose("mill 河岸边 near")
+
+
+def test_terms_in_other_words(spark, licenses):
+    rows = [
+        (1, 1, "C/a/LICENSE", "MIT License\n"),
+        (2, 1, "C/a/p.py", "# (c) 2020 X.\n# For internal use, kindly do not copy this.\n\nx = 1\n"),
+        (3, 1, "C/a/q.js", "// see the license of the driver before renting\nlet a;\n"),
+        (4, 1, "C/a/r.py", "x = 1\nif pkg.license == 'ISC':\n    LICENSES = ['ISC']\n"),
+        (5, 1, "C/a/s.java", "/*\n * Copyright 2021 X. All rights reserved.\n */\nclass A {}\n"),
+        (6, 1, "C/a/t.py", "﻿# © 2019 Y\n#\n# Using is fine.\n#\n# No promise.\n"),
+        (7, 1, "C/a/u.py", "# Whoever hands on hands on all.\n# No promise.\n"),
+        (8, 1, "C/a/v.cpp", "// Released under the House Agreement.\nint x;\n"),
+        (9, 1, "C/a/w.ts", "/*! some-utils 1.2.3 (c) the authors | license: ISC */\n"),
+    ]
+    repos = spark.createDataFrame([(1, "a", "z", "z")], REPOS)
+    got = {r.scope_id: r.license for r in p1_license.licenses_of(files(spark, rows), repos, licenses).where("scope = 'file'").collect()}
+    assert got == {2: "unknown", 3: "MIT", 4: "MIT", 5: "MIT", 6: "ISC", 7: "GPL-3.0-only", 8: "unknown", 9: "ISC"}
+
+
+def test_a_text_of_two_licences_tells_neither(spark):
+    table = spark.createDataFrame([("A-1", "One A", "Same words for all here.", "Body of A.", "u/a"), ("B-1", "One B", "Same words for all here.", "Body of B.", "u/b")], LICENSES)
+    rows = [(1, 1, "C/a/p.py", "# (c) 2020 X\n# Same words for all here.\n"), (2, 1, "C/a/q.py", "# Body of B.\n# Licensed under One B.\n")]
+    repos = spark.createDataFrame([(1, "a", "z", "z")], REPOS)
+    got = {r.scope_id: r.license for r in p1_license.licenses_of(files(spark, rows), repos, table).where("scope = 'file'").collect()}
+    assert got == {1: "conflict", 2: "B-1"}
