@@ -373,3 +373,14 @@ def test_a_text_of_two_licences_tells_neither(spark):
     repos = spark.createDataFrame([(1, "a", "z", "z")], REPOS)
     got = {r.scope_id: r.license for r in p1_license.licenses_of(files(spark, rows), repos, table).where("scope = 'file'").collect()}
     assert got == {1: "conflict", 2: "B-1"}
+
+
+def test_ascii_never_changes(spark):
+    assert all(not ch.isascii() for ch in p7_lookalike.ALIKE) and len(p7_lookalike.ALIKE) < 200
+    rows = [("item", 1, "it`s here"), ("item", 2, "it’s here"), ("item", 3, "it's here"), ("item", 4, "Ꭺ՝"), ("item", 5, "ꓮ՝"), ("item", 6, "Ⅳ…"), ("item", 7, "IV..."), ("item", 7, "IV..."), ("item", 8, None)]
+    df = spark.createDataFrame(rows, "scope string, id long, text string")
+    assert {(r.id_a, r.id_b) for r in p7_lookalike.alike(df).collect()} == {(2, 3), (4, 5), (6, 7)}
+    assert sorted((r.id, r.class_id) for r in p7_lookalike.classes(df).collect()) == [(2, 2), (3, 2), (4, 4), (5, 4), (6, 6), (7, 6)]
+    assert p7_lookalike.classes(df.limit(0)).collect() == []
+    same = df.select("text", p7_lookalike.same_look(F.col("text")).alias("f")).collect()
+    assert all(r.f == (None if r.text is None else p7_lookalike.canonical(r.text)) for r in same)
