@@ -156,8 +156,8 @@ def replay(raw: np.ndarray, starts: np.ndarray, m: Merges) -> tuple[np.ndarray,
 class Encoder:
     """Ids of arrays of words; keeps those of words already met, up to KEPT_WORDS."""
 
-    def __init__(self, path: str) -> None:
-        self.path, self.merges = path, merges(path)
+    def __init__(self, merges: Merges) -> None:
+        self.merges = merges
         self.forget()
 
     def forget(self) -> None:
@@ -195,10 +195,11 @@ def encode(docs: DataFrame, key: str, text: str, path: str | None = None, sizes:
     Null and empty texts have an empty list. Repeated rows come out as often. Nothing is shuffled: every task encodes
     the rows it reads, and words are shared within it.
     """
-    file = path or vocabulary_file()
+    # The driver alone reads the file; the merge table, some megabytes for any vocabulary of its kind, is sent once an executor.
+    shared = docs.sparkSession.sparkContext.broadcast(merges(path or vocabulary_file()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file)
+        encoder = Encoder(shared.value)
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:

@@ -59,13 +59,13 @@ def pack(items: DataFrame, key: str, size: str, containers: DataFrame, shard_ite
     n = items.count()
     shards = max(1, math.ceil(n / shard_items))
     kinds = containers.select("container_type", F.col("capacity_tokens").cast("long").alias("_cap")).where("_cap > 0")
-    base = items.select(F.col(key), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("_n"))
+    base = items.select(F.col(key), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("_n"), F.monotonically_increasing_id().alias("_row"))
     every = base.withColumn("_kind", F.explode(F.array(*[F.struct(F.lit(r[0]).alias("t"), F.lit(r[1]).alias("cap")) for r in kinds.collect()]) if n else F.array().cast("array<struct<t:string,cap:bigint>>")))
     cap = F.col("_kind.cap")
     pieces = every.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_n") / cap) - 1, F.lit(0))))).select(
-        F.col("_kind.t").alias("container_type"), cap.alias("_cap"), key, "piece", (F.col("piece") * cap).alias("start"), F.least(cap, F.col("_n") - F.col("piece") * cap).alias("n_tokens")
+        F.col("_kind.t").alias("container_type"), cap.alias("_cap"), key, "_row", "piece", (F.col("piece") * cap).alias("start"), F.least(cap, F.col("_n") - F.col("piece") * cap).alias("n_tokens")
     )
-    pieces = pieces.withColumn("_shard", F.pmod(F.xxhash64(key, "container_type"), F.lit(shards)))
+    pieces = pieces.withColumn("_shard", F.pmod(F.xxhash64("_row", "container_type"), F.lit(shards))).drop("_row")  # rows of one key are spread, too
     kind = items.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -88,4 +88,17 @@ def p9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", table(spark, sf, "container"))
 
 
-QUERIES = {"p9_packing": p9_packing}
+def p9_check(spark: SparkSession, sf: str) -> DataFrame:
+    """(container_type, n_documents, n_overfull, n_split, n_lost): what the packing must keep, counted from its rows: every document
+    once for each type, no container beyond its capacity, no document split that fits, no tokens lost."""
+    kinds = F.broadcast(table(spark, sf, "container").select("container_type", F.col("capacity_tokens").alias("cap")))
+    rows = p9_packing(spark, sf).join(kinds, "container_type")
+    fill = rows.where("container_no is not null").groupBy("container_type", "container_no").agg((F.sum("n_tokens") > F.first("cap")).cast("int").alias("over")).groupBy("container_type").agg(F.sum("over").alias("n_overfull"))
+    end = F.max(F.col("start") + F.col("n_tokens"))
+    of_doc = rows.groupBy("container_type", "doc_id").agg(F.sum((F.col("piece") == 0).cast("int")).alias("n"), ((F.max("piece") > 0) & (end <= F.first("cap"))).cast("int").alias("split"), (F.sum("n_tokens") != F.sum((F.col("piece") == 0).cast("int")) * end).cast("int").alias("lost"))
+    of_doc = of_doc.groupBy("container_type").agg(F.sum("n").alias("n_documents"), F.sum("split").alias("n_split"), F.sum("lost").alias("n_lost"))
+    return of_doc.join(fill, "container_type", "left").select("container_type", "n_documents", F.coalesce("n_overfull", F.lit(0)).alias("n_overfull"), "n_split", "n_lost")
+
+
+QUERIES = {"p9_packing": p9_packing, "p9_check": p9_check}
+ORACLES = {"p9_check": "SELECT container_type, (SELECT count(*) FROM documents) AS n_documents, 0::BIGINT AS n_overfull, 0::BIGINT AS n_split, 0::BIGINT AS n_lost FROM container"}
