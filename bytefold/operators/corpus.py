@@ -52,32 +52,70 @@ def best_pair(state: DataFrame) -> DataFrame:
     return top.select(T.char_id(F.substring("pair", 1, 1)).alias("left_id"), T.char_id(F.substring("pair", 2, 1)).alias("right_id"), "n")
 
 
-#: Pairs of the largest counts looked at before their first places.
+#: Pairs of the largest counts looked at in one job.
 LEADERS = 32
 
 
-def leading_pair(state: DataFrame) -> tuple[int, int, int] | None:
-    """(left, right, n) of the best pair, None without pairs.
+def pair_totals(state: DataFrame) -> DataFrame:
+    """(pair, n) of adjacent pairs, without their places: a hash aggregate."""
+    return state.where(F.length("tokens") > 1).select("freq", F.explode(T.pairs(F.col("tokens"))["pair"]).alias("pair")).groupBy("pair").agg(F.sum("freq").alias("n"))
 
-    Counts alone are a hash aggregate; first places, whose minimum needs a sort, are only sought among the leaders that
-    share the largest count, in the chunks that hold them. More ties than LEADERS take the full way.
+
+def updated_totals(totals: DataFrame, state: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """Pair totals after ``merges`` (left, right, new) of the state: only the chunks that hold a merged pair are counted again, as
+    they were (taken off) and as they become (added)."""
+    holds, merged = F.lit(False), F.col("tokens")
+    for left, right, new in merges:
+        holds = holds | F.col("tokens").contains(T.token_char(left) + T.token_char(right))
+        merged = T.merge(merged, left, right, new)
+    signed = lambda t, sign: F.transform(T.pairs(t)["pair"], lambda p: F.struct(p.alias("pair"), F.lit(sign).alias("sign")))
+    # No filter: pushed below the merges, it would repeat all of them for every pair.
+    rows = state.select("freq", "tokens", merged.alias("merged"), holds.alias("holds"))
+    changes = F.when(F.col("holds"), F.concat(signed(F.col("tokens"), -1), signed(F.col("merged"), 1)))
+    delta = rows.select("freq", F.explode_outer(changes).alias("x")).where("x is not null").select("x.pair", (F.col("freq") * F.col("x.sign")).alias("n"))
+    return totals.unionByName(delta).groupBy("pair").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def _ids(pair: str) -> tuple[int, int]:
+    left, right = (ord(c) - (T.LEARNED if ord(c) >= T.LEARNED else 0) for c in pair)
+    return left, right
+
+
+def leading_pairs(state: DataFrame, totals: DataFrame) -> list[tuple[int, int, int]]:
+    """(left, right, n) of the best pair and of those that are sure to be the best after it, none without pairs.
+
+    A pair follows in the same batch if it shares no token with those before it and its count is above that of the next:
+    a pair that a merge creates stands where one sharing a token with the merged pair stood, so it can't count more
+    than what is left outside the batch. A pair of equal tokens ends a batch, for its merge may create itself again.
+    Of equal counts the pair met first wins; places are looked for only among the chunks that hold the tied pairs.
     """
-    pairs = state.where(F.length("tokens") > 1).select("freq", F.explode(T.pairs(F.col("tokens"))["pair"]).alias("pair"))
-    top = pairs.groupBy("pair").agg(F.sum("freq").alias("n")).orderBy(F.desc("n")).limit(LEADERS).collect()
+    top = totals.orderBy(F.desc("n"), "pair").limit(LEADERS).collect()
     if not top:
-        return None
-    tied = [r["pair"] for r in top if r["n"] == top[0]["n"]]
-    if len(tied) == LEADERS:
-        found = best_pair(state).first()
-        return found["left_id"], found["right_id"], found["n"]
+        return []
+    most = top[0]["n"]
+    tied = [r["pair"] for r in top if r["n"] == most]
     if len(tied) > 1:
-        holds = F.lit(False)
-        for p in tied:
-            holds = holds | F.col("tokens").contains(p)
-        at = state.where(holds).select("first_ord", "first_pos", F.explode(T.pairs(F.col("tokens"))).alias("p")).where(F.col("p.pair").isin(tied))
-        tied = [at.groupBy("p.pair").agg(F.min(F.struct("first_ord", "first_pos", "p.off")).alias("first")).orderBy("first").first()["pair"]]
-    left, right = (ord(c) - (T.LEARNED if ord(c) >= T.LEARNED else 0) for c in tied[0])
-    return left, right, top[0]["n"]
+        rows = state
+        if len(tied) < len(top):
+            holds = F.lit(False)
+            for p in tied:
+                holds = holds | F.col("tokens").contains(p)
+            rows = state.where(holds)
+        at = rows.where(F.length("tokens") > 1).select("first_ord", "first_pos", F.explode(T.pairs(F.col("tokens"))).alias("p")).select("first_ord", "first_pos", "p.*")
+        at = at.where(F.col("pair").isin(tied)) if len(tied) < len(top) else at.join(totals.where(F.col("n") == most).select("pair"), "pair", "left_semi")
+        first = at.groupBy("pair").agg(F.min(F.struct("first_ord", "first_pos", "off")).alias("first")).orderBy("first").first()["pair"]
+        return [(*_ids(first), most)]
+    out, used = [], set()
+    for k, r in enumerate(top):
+        left, right = _ids(r["pair"])
+        sure = k + 1 < len(top) and r["n"] > top[k + 1]["n"] or k + 1 == len(top) < LEADERS
+        if out and (not sure or used & {left, right}):
+            break
+        out.append((left, right, r["n"]))
+        used |= {left, right}
+        if left == right:
+            break
+    return out
 
 
 def exposure(state: DataFrame) -> DataFrame:

@@ -136,15 +136,30 @@ class Tokenizer:
         """Text of an array of ids, malformed UTF-8 replaced. Null and empty arrays give an empty text; unknown ids raise."""
         names = {v: k.encode() for k, v in self.vocab.specials.items()}
         raw = {t: b"" if skip_special_tokens and t in names else b for t, b in (self.vocab.token_bytes | names).items()}
-
-        @F.pandas_udf("string")
-        def run(batch: pd.Series) -> pd.Series:
-            def one(xs: list[int] | None) -> str:
-                try:
-                    return b"".join([raw[x] for x in xs]).decode("utf-8", "replace") if xs is not None else ""
-                except KeyError as e:
-                    raise ValueError(f"unknown token id: {e.args[0]}") from None
-
-            return batch.map(one)
+        size = max(raw, default=-1) + 1
+        length = np.full(size, -1, np.int64)
+        for t, b in raw.items():
+            length[t] = len(b)
+        begin = np.concatenate([[0], np.cumsum(np.maximum(length, 0))])
+        flat = np.frombuffer(b"".join(raw.get(t, b"") for t in range(size)), np.uint8)
+
+        @F.arrow_udf("string")
+        def run(batch: pa.Array) -> pa.Array:
+            """Bytes of all ids of a batch at once by offsets; only malformed texts are decoded one by one."""
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy())])
+            ids = pc.fill_null(batch.flatten(), -1).to_numpy()
+            known = (ids >= 0) & (ids < size)
+            if not (known.all() and (length[ids] >= 0).all()):
+                known[known] = length[ids[known]] >= 0
+                raise ValueError(f"unknown token id: {ids[~known][0]}")
+            n = length[ids]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            out = flat[np.repeat(begin[ids] - ends[:-1], n) + np.arange(ends[-1])]
+            cuts = ends[offsets]
+            whole = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(out)])
+            try:
+                return whole.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:
+                return pa.array([b.as_py().decode("utf-8", "replace") for b in whole], pa.string())
 
         return run(ids)

@@ -30,7 +30,8 @@ class Merge:
 class Trainer:
     """Learns merges on distinct weighted chunks.
 
-    The sizes include the 256 bytes and exclude specials. ``whole`` merges within whole texts instead of chunks.
+    Pair totals are kept beside the corpus; a merge counts again only the chunks that hold its pair, and merges that can't
+    influence each other are made in one job. The sizes include the 256 bytes and exclude specials. ``whole`` merges within whole texts instead of chunks.
     The driver holds one row per merge, which the vocabulary size bounds; the corpus stays in Spark. Lineage is cut by a
     reliable checkpoint every ``cut_every`` merges. ``partitions`` spreads the distinct chunks evenly over so many tasks;
     the result does not depend on it.
@@ -46,6 +47,8 @@ class Trainer:
     merges: list[Merge] = field(default_factory=list)
     state: DataFrame | None = None
     metrics: list[dict] = field(default_factory=list)
+    #: When training began, on the clock; ``mark_start`` sets it anew.
+    started: float | None = None
 
     def __post_init__(self) -> None:
         if self.visible_vocab_size < BASES or self.train_vocab_size < BASES:
@@ -84,26 +87,49 @@ class Trainer:
         elif self.state is None:
             raise ValueError("there is no corpus to go on from")
         sizes, done = set(checkpoint_vocab_sizes), 0
-        if self.next_id < self.train_vocab_size:
+        if self.next_id >= self.train_vocab_size:
+            return self
+        self.started = self.started or time.time()
+        try:
             self.state = self._keep(self.state)
-        while self.next_id < self.train_vocab_size:
-            began = time.perf_counter()
-            best = corpus.leading_pair(self.state)
-            if best is None or best[2] < 2:
-                break
-            left, right, n = best
-            new = self.next_id
-            self.merges.append(Merge(new, left, right, n))
-            self.state = corpus.merge_corpus(self.state, left, right, new)
-            done += 1
-            if done % self.cut_every == 0:
-                self.state = self._keep(self.state)
-            self.metrics.append({"token_id": new, "n": n, "seconds": time.perf_counter() - began})
-            log.info("merge %d: (%d, %d), n=%d", new, left, right, n)
-            if self.next_id in sizes:
-                self.save_checkpoint(f"{checkpoint_dir or '.'}/checkpoint_vocab_{self.next_id}")
+            totals = corpus.pair_totals(self.state).checkpoint()  # as many rows as there are different pairs
+            while self.next_id < self.train_vocab_size:
+                began = time.perf_counter()
+                batch = corpus.leading_pairs(self.state, totals)
+                # Never beyond the wanted size or the next checkpoint.
+                room = min([self.train_vocab_size, *(x for x in sizes if x > self.next_id)]) - self.next_id
+                batch = [x for x in batch[:room] if x[2] >= 2]
+                if not batch:
+                    break
+                merges = [(left, right, self.next_id + k) for k, (left, right, _) in enumerate(batch)]
+                totals = corpus.updated_totals(totals, self.state, merges).checkpoint()
+                for (left, right, new), (*_, n) in zip(merges, batch):
+                    self.merges.append(Merge(new, left, right, n))
+                    self.state = corpus.merge_corpus(self.state, left, right, new)
+                before, done = done, done + len(batch)
+                if done // self.cut_every > before // self.cut_every:
+                    self.state = self._keep(self.state)
+                self._note(batch, time.perf_counter() - began, before)
+                if self.next_id in sizes:
+                    self.save_checkpoint(f"{checkpoint_dir or '.'}/checkpoint_vocab_{self.next_id}")
+        except BaseException:
+            self.close()
+            raise
         return self
 
+    def _note(self, batch: list[tuple[int, int, int]], seconds: float, before: int) -> None:
+        """Metrics and log lines of a batch; every ten merges the time since the start and the speed."""
+        for k, (left, right, n) in enumerate(batch):
+            new = self.next_id - len(batch) + k
+            self.metrics.append({"token_id": new, "n": n, "seconds": seconds / len(batch)})
+            log.info("merge %d: (%d, %d), n=%d", new, left, right, n)
+        if (before + len(batch)) // 10 > before // 10:
+            elapsed = time.time() - self.started
+            log.info("%d merges, %.1f s, %.0f tokens an hour", len(self.merges), elapsed, 3600 * len(self.metrics) / max(elapsed, 1e-9))
+
+    def mark_start(self) -> None:
+        self.started = time.time()
+
     def metrics_table(self) -> DataFrame:
         """(token_id, n, seconds, tokens_per_hour) of the merges made by this trainer."""
         rows = [(m["token_id"], m["n"], m["seconds"], 3600 / max(m["seconds"], 1e-9)) for m in self.metrics]
@@ -135,7 +161,9 @@ class Trainer:
         return min(learned, max(1, self.visible_vocab_size - BASES))
 
     def train_until_visible_full(self, max_train_vocab_size: int, checkpoint_vocab_sizes: tuple[int, ...] = (), checkpoint_dir: str | None = None, step_size: int = 25) -> "Trainer":
-        """Extends training in batches until the visible vocabulary is full, the cap is reached or nothing is learned."""
+        """Extends training in batches until the visible vocabulary is full, the cap is reached or nothing is learned.
+
+        A last checkpoint is always saved, in the working folder if none is given."""
         if step_size < 1:
             raise ValueError("step_size must be at least 1")
         if self.state is None:
@@ -149,8 +177,7 @@ class Trainer:
             if self.next_id == before:
                 break
         self.train_vocab_size = self.next_id
-        if checkpoint_dir is not None:
-            self.save_checkpoint(f"{checkpoint_dir}/checkpoint_vocab_{self.next_id}")
+        self.save_checkpoint(f"{checkpoint_dir or '.'}/checkpoint_vocab_{self.next_id}")
         return self
 
     def id_map(self) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import corpus, prune
 from ..operators.tokenizer import Tokenizer
 from ..operators.train import Trainer
 from ..sources import folder
+from ..sources.shared import ensure_checkpoint_dir
 from ..sources.vocab import Vocab
 
 N_MERGES = 16
@@ -153,7 +154,7 @@ def vanilla_train_8(spark: SparkSession, sf: str) -> DataFrame:
 def visible_fill(spark: SparkSession, sf: str) -> DataFrame:
     t = Trainer(spark, 256 + 4, 256 + 4, MIN_EXPOSURE).train(chunks=chunks(spark, sf))
     t.visible_vocab_size = 256 + 8
-    return t.train_until_visible_full(256 + 20, step_size=4).id_map()
+    return t.train_until_visible_full(256 + 20, step_size=4, checkpoint_dir=f"{ensure_checkpoint_dir(spark)}/visible_fill").id_map()
 
 
 def load_items(spark: SparkSession, sf: str) -> DataFrame:

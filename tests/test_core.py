@@ -133,6 +133,45 @@ def test_training_equals_naive(spark):
     assert [(m.token_id, m.left_id, m.right_id, m.n) for m in got.merges] == want
 
 
+def test_many_merges_equal_naive(spark):
+    """Merges made together, ties, runs of equal tokens: the same as one after the other, with all pairs counted anew."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(150)] + ["aaaaaaaa", "aaaaa", "abababab"]
+    weights = [1 / (k + 1) for k in range(len(words))]
+    texts = [" ".join(rng.choices(words, weights, k=40)) for _ in range(60)]
+    trainer = Trainer(spark, 256 + 60, 256, 0, cut_every=16).train(frame(spark, texts))
+    rows = [list(c.encode()) for r in frame(spark, texts).select(pretokenize(F.col("text")).alias("c")).collect() for c in r.c]
+    want = []
+    for new in range(256, 256 + 60):
+        seen = {}
+        for ids in rows:
+            for p in zip(ids, ids[1:]):
+                seen[p] = seen.get(p, 0) + 1
+        best = max(seen, key=seen.get)
+        want.append((new, *best, seen[best]))
+        rows = [encode_chunk_literally_ids(ids, best, new) for ids in rows]
+    assert [(m.token_id, m.left_id, m.right_id, m.n) for m in trainer.merges] == want
+    assert len(trainer.metrics) == 60 and trainer.started is not None
+
+
+def test_totals_after_merges_equal_a_recount(spark):
+    state = corpus.tokenised(corpus.unique_chunks(spark.createDataFrame([(i, 0, c) for i, c in enumerate(["abab", "aaaa", "xab", "ba", "abc", "abab"])], "item_ord long, pos int, chunk string")))
+    merges = [(97, 98, 256), (120, 256, 257)]
+    after = corpus.merge_corpus(corpus.merge_corpus(state, *merges[0]), *merges[1])
+    got = {tuple(r) for r in corpus.updated_totals(corpus.pair_totals(state), state, merges).collect()}
+    assert got == {tuple(r) for r in corpus.pair_totals(after).collect()}
+
+
+def test_decode_malformed_and_unknown(spark):
+    tok = Tokenizer(vocab.Vocab(specials={"<_EOS_>": 256}))
+    cases = {"E4BD": "\ufffd", "FF41": "\ufffdA", "E4BDE4BD": "\ufffd\ufffd", "F09F98": "\ufffd", "F0809080": "\ufffd" * 4, "EDA080": "\ufffd" * 3, "C3": "\ufffd", "": "", "C3A9": "é"}
+    df = spark.createDataFrame([(list(bytes.fromhex(h)) + [256], v) for h, v in cases.items()] + [(None, ""), ([], "")], "ids array<int>, want string")
+    assert all(r.a == r.want and r.b in (r.want + "<_EOS_>", "") for r in df.select("want", tok.decode(F.col("ids")).alias("a"), tok.decode(F.col("ids"), False).alias("b")).collect())
+    for bad in ([257], [-1], [1, None]):
+        with pytest.raises(Exception, match="unknown token id"):
+            spark.createDataFrame([(bad,)], "ids array<int>").select(tok.decode(F.col("ids"))).collect()
+
+
 def encode_chunk_literally_ids(ids, pair, new):
     out, i = [], 0
     while i < len(ids):
@@ -151,7 +190,8 @@ def test_plain_trainer_and_greedy_overlap(spark, tmp_path):
     assert frame(spark, ["aaabdaaabac"]).select(tok.encode(F.col("text")).alias("x")).first().x == [258, 100, 258, 97, 99]
 
 
-def test_checkpoint_and_fill(spark, the, tmp_path):
+def test_checkpoint_and_fill(spark, the, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
     half = Trainer(spark, 260, 256, 2).train(frame(spark, THE), checkpoint_vocab_sizes=(259,), checkpoint_dir=str(tmp_path))
     back = Trainer.load_checkpoint(spark, str(tmp_path / "checkpoint_vocab_259"), train_vocab_size=263, visible_vocab_size=256, min_exposure_count=2)
     assert back.next_id == 259 and [m.token_id for m in half.merges] == [256, 257, 258, 259]
@@ -160,6 +200,7 @@ def test_checkpoint_and_fill(spark, the, tmp_path):
     fill.visible_vocab_size = 258
     fill.train_until_visible_full(270, step_size=2)
     assert fill.next_id == 259 and fill.exportable_visible() == 2
+    assert Trainer.load_checkpoint(spark, str(tmp_path / "checkpoint_vocab_259"), train_vocab_size=263, visible_vocab_size=256).next_id == 259
     for bad in (dict(max_train_vocab_size=259), dict(max_train_vocab_size=300, step_size=0)):
         with pytest.raises(ValueError):
             fill.train_until_visible_full(**bad)
