@@ -67,8 +67,8 @@ def fit(rows: Rows, y: np.ndarray, dim: int, loss: str, classes: int = 1, epochs
         b = rows.take(part)
         order = np.argsort(b.idx, kind="stable")  # the batches stay the same, so each is sorted by feature once
         at = b.idx[order]
-        starts = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
-        batches.append((part, b, np.repeat(np.arange(len(part)), np.diff(b.ptr))[order], b.val[order][:, None], starts, at[starts]))
+        starts = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0].astype(np.int32)
+        batches.append((part, b, np.repeat(np.arange(len(part), dtype=np.uint8), np.diff(b.ptr))[order], b.val[order][:, None], starts, at[starts].astype(np.int32)))
     for _ in range(epochs):
         for k in rng.permutation(len(batches)).tolist():
             part, b, row, val, starts, used = batches[k]

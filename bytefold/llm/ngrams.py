@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from .linear import Rows
 
@@ -41,3 +42,21 @@ def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
     idx = np.concatenate([x for i, _ in parts for x in (one_i, i)]) if parts else np.zeros(0, np.int64)
     val = np.concatenate([x for _, v in parts for x in (one_v, v)]) if parts else np.zeros(0, np.float32)
     return Rows(ptr, idx, val.astype(np.float32))
+
+
+def unpacked(i: pa.ChunkedArray, v: pa.ChunkedArray) -> Rows:
+    """Sparse rows with the bias in front from columns of int32 buckets and float32 values as binary, without an object a row.
+    One empty row, the bias alone, stands at the end."""
+    parts = []
+    for column, kind in ((i, np.int32), (v, np.float32)):
+        a = column.cast(pa.large_binary()).combine_chunks()
+        a = pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a
+        offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+        parts.append((offsets // 4, np.frombuffer(a.buffers()[2], kind)[offsets[0] // 4 : offsets[-1] // 4]))
+    (offsets, idx), (_, val) = parts
+    ptr = np.concatenate([offsets - offsets[0] + np.arange(len(offsets)), [offsets[-1] - offsets[0] + len(offsets)]])
+    own = np.ones(ptr[-1], bool)
+    own[ptr[:-1]] = False
+    out_i, out_v = np.zeros(ptr[-1], np.int32), np.ones(ptr[-1], np.float32)
+    out_i[own], out_v[own] = idx, val
+    return Rows(ptr, out_i, out_v)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import ensure_checkpoint_dir
 from . import ngrams
 from .common import hash_sample, salted_left_join, table
-from .linear import Linear, Rows, fit
+from .linear import Linear, fit
 
 #: Files of the labelled sample and heaviest features of each that the fit takes (parameters, which bound what reaches the
 #: driver), size of the feature space, words beyond which equal bodies are copies.
@@ -157,18 +157,20 @@ def train(files: DataFrame) -> tuple[np.ndarray, list[float]]:
                         out.append((0 if pd.isna(repo) else int(repo), sum(1 << k for k, x in enumerate(KINDS) if x in kinds), f is not masked or not len(told[0]), i.astype(np.int32).tobytes(), v.tobytes()))
             yield pd.DataFrame(out, columns=["repo", "kinds", "shown", "i", "v"])
 
-    got = sample.select("repo_id", "path", "content").mapInPandas(run, "repo long, kinds int, shown boolean, i binary, v binary").toPandas()  # packed, eight bytes a feature
-    if not len(got):
+    packed = sample.select("repo_id", "path", "content").mapInPandas(run, "repo long, kinds int, shown boolean, i binary, v binary").toArrow()  # eight bytes a feature
+    n = packed.num_rows
+    if not n:
         return np.zeros((1 << BITS, len(KINDS)), np.float32), [math.inf] * len(KINDS)
-    # A file that shows nothing is hand-written, so what little a tiny file shows must speak for a kind, not against it.
-    nothing = [(np.zeros(0, np.int32), np.zeros(0, np.float32))] * (1 + len(got) // 20)
-    rows: Rows = ngrams.rows([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got["i"], got["v"])] + nothing)
-    kinds = np.concatenate([got["kinds"].to_numpy(np.int64), np.zeros(len(nothing), np.int64)])
+    rows, repos, shown, kinds = ngrams.unpacked(packed["i"], packed["v"]), packed["repo"].to_numpy(), packed["shown"].to_numpy(), packed["kinds"].to_numpy()
+    del packed
     y = np.stack([np.where(kinds >> k & 1, 1.0, np.where(kinds == 0, -1.0, 0.0)) for k in range(len(KINDS))], axis=1)
-    held = np.concatenate([got["repo"].to_numpy(np.int64) % 5 == 0, np.zeros(len(nothing), bool)])
-    use = np.nonzero(~held)[0]
+    y = np.concatenate([y, np.full((1, len(KINDS)), -1.0)]).astype(np.float32)
+    held = repos % 5 == 0
+    # A file that shows nothing (the empty row at the end) is hand-written, so what little a tiny file shows must speak for a
+    # kind, not against it.
+    use = np.concatenate([np.nonzero(~held)[0], np.full(1 + n // 20, n)])
     model = fit(rows.take(use), y[use], 1 << BITS, "hinge", classes=len(KINDS), epochs=12, rate=0.2, l2=1e-5)
-    test = np.nonzero(held[: len(got)] & got["shown"].to_numpy(bool))[0]  # as they are met
+    test = np.nonzero(held & shown)[0]  # as they are met
     score = model.scores(rows.take(test))
     return model.weights, [threshold(score[y[test, k] != 0, k], y[test, k][y[test, k] != 0] > 0) for k in range(len(KINDS))]
 
