@@ -58,9 +58,14 @@ def bytes_cte(n: int) -> str:
 
 
 EXPOSURE = f"e AS MATERIALIZED (SELECT unicode(c) - {T0} AS token_id, sum(freq)::BIGINT AS exposure FROM (SELECT freq, unnest(string_split(t, '')) AS c FROM t{N_MERGES}) WHERE c <> '' GROUP BY 1)"
-IDS = f"""s AS (SELECT m.token_id AS old_id, coalesce(exposure, 0) AS exposure, coalesce(sum((coalesce(exposure, 0) >= {MIN_EXPOSURE})::INT) OVER (ORDER BY m.token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM m LEFT JOIN e USING (token_id)),
-st AS (SELECT old_id, exposure, CASE WHEN seen >= {VISIBLE - 256} THEN 'discarded' WHEN exposure >= {MIN_EXPOSURE} THEN 'visible' ELSE 'internal' END AS status FROM s),
+def ids_cte(visible: int) -> str:
+    """CTE ids(old_id, exposure, status, new_id) of the tables m and e."""
+    return f"""s AS (SELECT m.token_id AS old_id, coalesce(exposure, 0) AS exposure, coalesce(sum((coalesce(exposure, 0) >= {MIN_EXPOSURE})::INT) OVER (ORDER BY m.token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM m LEFT JOIN e USING (token_id)),
+st AS (SELECT old_id, exposure, CASE WHEN seen >= {visible - 256} THEN 'discarded' WHEN exposure >= {MIN_EXPOSURE} THEN 'visible' ELSE 'internal' END AS status FROM s),
 ids AS MATERIALIZED (SELECT old_id, exposure, status, CASE status WHEN 'visible' THEN 255 + row_number() OVER w WHEN 'internal' THEN 255 + {len(SPECIALS)} + (SELECT count(*) FROM st WHERE status = 'visible') + row_number() OVER w END::INT AS new_id FROM st WINDOW w AS (PARTITION BY status ORDER BY old_id))"""
+
+
+IDS = ids_cte(VISIBLE)
 FULL = f"{BASE},\n{bytes_cte(N_MERGES)},\n{EXPOSURE},\n{IDS},\nall_ids AS (SELECT old_id, new_id FROM ids WHERE new_id IS NOT NULL UNION ALL SELECT i::INT, i::INT FROM range(256) r(i))"
 LEARNED = f"SELECT i.new_id AS token_id, l.new_id AS left_id, r.new_id AS right_id, h AS bytes_hex, i.old_id AS merge_rank, status FROM ids i JOIN m ON m.token_id = i.old_id JOIN x{N_MERGES} x ON x.token_id = i.old_id JOIN all_ids l ON l.old_id = m.left_id JOIN all_ids r ON r.old_id = m.right_id WHERE i.new_id IS NOT NULL"
 
@@ -84,6 +89,22 @@ chunk_ids AS (SELECT chunk, string_agg(s, ',' ORDER BY k) AS s FROM spread JOIN
 texts AS (SELECT key, string_agg(s, ',' ORDER BY g) AS s FROM pieces JOIN chunk_ids USING (chunk) GROUP BY key)"""
 
 
+def visible_fill() -> str:
+    """The extension rule walked over the exposures after every number of merges: begin with 4, go on until 8 are visible or 20 made."""
+    first, room, cap, step = 4, 8, 20, 4
+    stood = " UNION ALL ".join(f"SELECT {k} AS n, freq, unnest(string_split(t, '')) AS c FROM t{k}" for k in range(first, cap + 1))
+    return f"""WITH RECURSIVE {UNIQUE},
+{train(CHUNKS, cap)},
+{merges(cap).replace("m AS", "m_all AS", 1)},
+e_all AS MATERIALIZED (SELECT n, unicode(c) - {T0} AS token_id, sum(freq)::BIGINT AS exposure FROM ({stood}) WHERE c <> '' GROUP BY ALL),
+cnt AS MATERIALIZED (SELECT k AS n, (SELECT count(*) FROM e_all WHERE n = k AND token_id >= 256 AND exposure >= {MIN_EXPOSURE}) AS c FROM range({first}, {cap + 1}) r(k)),
+walk(n) AS (SELECT {first}::BIGINT UNION ALL SELECT least({cap}, walk.n + greatest({step}, ceil(1.1::DOUBLE * ({room} - c))::BIGINT)) FROM walk JOIN cnt ON cnt.n = walk.n WHERE c < {room} AND walk.n < {cap}),
+fin AS MATERIALIZED (SELECT max(n) AS n FROM walk),
+m AS MATERIALIZED (SELECT * FROM m_all WHERE token_id <= 255 + (SELECT n FROM fin)),
+e AS MATERIALIZED (SELECT token_id, exposure FROM e_all WHERE n = (SELECT n FROM fin)),
+{ids_cte(256 + room)} SELECT old_id, exposure, status, new_id FROM ids"""
+
+
 SPECIAL_RX = quoted("|".join(SPECIALS))
 
 
@@ -120,7 +141,11 @@ def oracles() -> dict[str, str]:
         "prune_visibility": f"{BASE},\n{EXPOSURE},\n{IDS} SELECT old_id, exposure, status, new_id FROM ids",
         "vocab_export": f"{FULL} SELECT token_id, left_id, right_id, bytes_hex, merge_rank FROM ({LEARNED}) WHERE status = 'visible' UNION ALL SELECT token_id, -1, -1, h, -1 FROM x0 UNION ALL {specials}",
         "inter_vocab_export": f"{FULL} SELECT token_id, left_id, right_id, bytes_hex, merge_rank FROM ({LEARNED}) WHERE status = 'internal'",
-        "decode_roundtrip": "SELECT doc_id, true AS ok FROM documents",
+        "decode_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS md5_back FROM documents",
+        "decode_bare_items": f"SELECT item_ord, md5(regexp_replace(coalesce(text, ''), {SPECIAL_RX}, '', 'g')) AS md5_back FROM text_item",
+        "resume_16": f"{BASE} SELECT * FROM m",
+        "vocab_file_roundtrip": f"{FULL} SELECT token_id, left_id, right_id, bytes_hex, merge_rank FROM ({LEARNED}) UNION ALL SELECT token_id, -1, -1, h, -1 FROM x0 UNION ALL {specials}",
+        "visible_fill": visible_fill(),
         "vanilla_train_8": f"WITH u AS (SELECT text AS chunk, count(*) AS freq, min({{'o': item_ord, 'p': 0}}) AS first FROM text_item WHERE text <> '' GROUP BY text), {train(CHUNKS, N_WHOLE)}, {merges(N_WHOLE)} SELECT * FROM m",
         "load_items": r"""WITH f AS (SELECT file_id, suffix, nfc_normalize(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '^' || chr(65279), '')) AS t FROM corpus_file WHERE content IS NOT NULL),
 l AS (SELECT file_id, CASE WHEN suffix = '.txt' THEN list_filter(list_transform(regexp_extract_all(t, '[^\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]*[\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]|[^\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]+'), lambda x: rtrim(x, chr(10))), lambda x: x <> '' AND x <> '===') ELSE [t] END AS l FROM f)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from ..functions import tokens as T
 from ..operators import corpus, prune
 from ..operators.tokenizer import Tokenizer
 from ..operators.train import Trainer
-from ..sources import folder
+from ..sources import folder, vocab
 from ..sources.shared import ensure_checkpoint_dir
 from ..sources.vocab import Vocab
 
@@ -137,7 +140,32 @@ def encode_special_items(spark: SparkSession, sf: str) -> DataFrame:
 def decode_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     tok = Tokenizer(vocabulary(trained(spark, sf)))
     back = table(spark, sf, "documents").select("doc_id", "text", tok.decode(tok.encode(F.col("text")), skip_special_tokens=False).alias("back"))
-    return back.select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("ok"))
+    return back.select("doc_id", F.md5(F.encode("back", "UTF-8")).alias("md5_back"))
+
+
+def decode_bare_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items encoded with their specials as ids and decoded without them."""
+    tok = Tokenizer(vocabulary(trained(spark, sf)))
+    back = tok.decode(tok.encode(F.col("text"), encode_special_tokens=True))
+    return table(spark, sf, "text_item").select("item_ord", F.md5(F.encode(back, "UTF-8")).alias("md5_back"))
+
+
+def resume_16(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the merges, a checkpoint, and the rest by a trainer that goes on from it."""
+    folder_ = f"{ensure_checkpoint_dir(spark)}/resume-{uuid.uuid4().hex}"
+    half = 256 + N_MERGES // 2
+    Trainer(spark, half, 256, 0).train(chunks=chunks(spark, sf), checkpoint_vocab_sizes=(half,), checkpoint_dir=folder_).close()
+    return Trainer.load_checkpoint(spark, f"{folder_}/checkpoint_vocab_{half}", train_vocab_size=256 + N_MERGES, visible_vocab_size=256).train().merge_table()
+
+
+def vocab_file_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The exported vocabulary written as its two files and read again; files of the driver, as large as the vocabulary."""
+    t = trained(spark, sf)
+    with tempfile.TemporaryDirectory() as place:
+        names = f"{place}/vocab.txt", f"{place}/inter_vocab.txt"
+        vocab.write(prune.export_rows(t.merge_table(), t.id_map(), t.token_bytes()), *names)
+        back = vocab.load(*names).table(spark)
+    return back.select("token_id", "left_id", "right_id", F.hex("bytes").alias("bytes_hex"), "merge_rank")
 
 
 def compression_by_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,4 +198,4 @@ def merge_count_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("pair_key").agg(F.sum("n").alias("n")).select("pair_key", left.alias("left_id"), right.alias("right_id"), "n")
 
 
-QUERIES = {f.__name__: f for f in (pretok_documents, pretok_items, chunk_stats_by_source, char_kind_histogram, unique_chunks, byte_histogram, pair_counts_round0, best_pair_round0, bpe_train_16, token_exposure, prune_visibility, vocab_export, inter_vocab_export, encode_documents, encode_items, encode_special_items, decode_roundtrip, compression_by_source, vanilla_train_8, visible_fill, load_items, merge_count_pairs)}
+QUERIES = {f.__name__: f for f in (pretok_documents, pretok_items, chunk_stats_by_source, char_kind_histogram, unique_chunks, byte_histogram, pair_counts_round0, best_pair_round0, bpe_train_16, token_exposure, prune_visibility, vocab_export, inter_vocab_export, encode_documents, encode_items, encode_special_items, decode_roundtrip, decode_bare_items, resume_16, vocab_file_roundtrip, compression_by_source, vanilla_train_8, visible_fill, load_items, merge_count_pairs)}
