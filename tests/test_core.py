@@ -190,17 +190,16 @@ def test_plain_trainer_and_greedy_overlap(spark, tmp_path):
     assert frame(spark, ["aaabdaaabac"]).select(tok.encode(F.col("text")).alias("x")).first().x == [258, 100, 258, 97, 99]
 
 
-def test_checkpoint_and_fill(spark, the, tmp_path, monkeypatch):
-    monkeypatch.chdir(tmp_path)
+def test_checkpoint_and_fill(spark, the, tmp_path):
     half = Trainer(spark, 260, 256, 2).train(frame(spark, THE), checkpoint_vocab_sizes=(259,), checkpoint_dir=str(tmp_path))
     back = Trainer.load_checkpoint(spark, str(tmp_path / "checkpoint_vocab_259"), train_vocab_size=263, visible_vocab_size=256, min_exposure_count=2)
     assert back.next_id == 259 and [m.token_id for m in half.merges] == [256, 257, 258, 259]
     assert back.train().merges == the.merges
     fill = Trainer(spark, 257, 257, 2).train(frame(spark, THE))
     fill.visible_vocab_size = 258
-    fill.train_until_visible_full(270, step_size=2)
+    fill.train_until_visible_full(270, step_size=2, checkpoint_dir=str(tmp_path / "fill"))
     assert fill.next_id == 259 and fill.exportable_visible() == 2
-    assert Trainer.load_checkpoint(spark, str(tmp_path / "checkpoint_vocab_259"), train_vocab_size=263, visible_vocab_size=256).next_id == 259
+    assert Trainer.load_checkpoint(spark, str(tmp_path / "fill/checkpoint_vocab_259"), train_vocab_size=263, visible_vocab_size=256).next_id == 259
     for bad in (dict(max_train_vocab_size=259), dict(max_train_vocab_size=300, step_size=0)):
         with pytest.raises(ValueError):
             fill.train_until_visible_full(**bad)
