@@ -1,11 +1,13 @@
 """Linear classifiers on hashed sparse features: logistic, multinomial logistic and support-vector, fitted in numpy.
 
-Only bounded samples of labelled rows reach the fit; the weights travel to the executors (their number is a parameter).
+Only bounded samples of labelled rows reach ``fit``. ``descent`` and ``newton`` need sums over rows alone, which tasks can
+make of all rows where they are. The weights travel to the executors (their number is a parameter).
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Generator
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,3 +105,60 @@ def platt(scores: np.ndarray, y: np.ndarray, steps: int = 500) -> tuple[float, f
         da, db = np.linalg.solve(m, g)
         a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
     return float(a), float(b)
+
+
+def log_sums(rows: Rows, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(1 + dim, columns): for each column of ``w`` the sum of the logistic loss over the rows, below it that of its gradient."""
+    sign = (2.0 * y - 1)[:, None]
+    s = sign * np.add.reduceat(w[rows.idx] * rows.val[:, None], rows.ptr[:-1], axis=0)
+    g = np.repeat(-sign / (1 + np.exp(np.clip(s, -500, 500))), np.diff(rows.ptr), axis=0) * rows.val[:, None]
+    return np.vstack([np.logaddexp(0, -s).sum(axis=0), np.stack([np.bincount(rows.idx, x, len(w)) for x in g.T], axis=1)])
+
+
+def descent(dim: int, steps: int = 200, memory: int = 10, tol: float = 1e-5) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """L-BFGS from 0: yields where loss and gradient are wanted, is sent them, returns the place where the gradient's length
+    is ``tol`` of the first."""
+    w = np.zeros(dim)
+    f, g = yield w
+    first, past = np.linalg.norm(g), []
+    for _ in range(steps):
+        if np.linalg.norm(g) <= tol * first:
+            break
+        d, used = g.copy(), []
+        for s, z in reversed(past):
+            used.append((s @ d) / (s @ z))
+            d -= used[-1] * z
+        d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / np.linalg.norm(g)
+        for (s, z), k in zip(past, reversed(used)):
+            d += s * (k - (z @ d) / (s @ z))
+        step = 1.0
+        while True:
+            f1, g1 = yield w - step * d
+            if f1 <= f - 1e-4 * step * (g @ d):
+                break
+            step /= 2
+            if step < 1e-6:  # as low as numbers tell
+                return w
+        if (s := -step * d) @ (z := g1 - g) > 1e-14:
+            past = [*past, (s, z)][-memory:]
+        w, f, g = w - step * d, f1, g1
+    return w
+
+
+def platt_sums(scores: np.ndarray, t: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Sums of which a step of ``newton`` is made, for the probabilities ``t`` wanted."""
+    p = 1 / (1 + np.exp(-np.clip(a * scores + b, -30, 30)))
+    h = np.maximum(p * (1 - p), 1e-6)
+    return np.array([((p - t) * scores).sum(), (p - t).sum(), (h * scores**2).sum(), (h * scores).sum(), h.sum()])
+
+
+def newton(sums: Callable[[float, float], np.ndarray], n: int, steps: int = 100, tol: float = 1e-6) -> tuple[float, float]:
+    """(a, b) as of ``platt``, from ``platt_sums`` of ``n`` rows."""
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        ga, gb, haa, hab, hbb = sums(a, b) / n
+        da, db = np.clip(np.linalg.solve([[haa + 1e-6, hab], [hab, hbb + 1e-6]], [ga, gb]), -1, 1)
+        a, b = a - da, b - db
+        if max(abs(da), abs(db)) < tol:
+            break
+    return float(a), float(b)

@@ -2,27 +2,33 @@
 
 Candidates (literals as a lexer finds them, addresses with passwords, authorisation headers, private keys, options of
 scripts, lines of settings) are scored by logistic regression on character Markov likelihood, shape, words inside,
-surrounding identifiers and path. The labels of its bounded training sample are weak: matches of patterns, everything
-doubtful left out; the patterns themselves are no features. The scores are calibrated on repositories held out, and those
-of at least ``THRESHOLD`` are secrets. Redaction blanks exactly their characters.
+surrounding identifiers and path. All files are learned from. Their labels are weak: matches of patterns, everything
+doubtful left out; the patterns themselves are no features. The scores are calibrated on those that each row has from a
+model of the other repositories, and those of at least ``THRESHOLD`` are secrets. Redaction blanks exactly their characters.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table
-from .linear import Rows, bucket, fit, platt
+from .common import table
+from .linear import Linear, Rows, bucket, descent, log_sums, newton, platt_sums
 from .p6_natural import CODE, COMMENT, DOUBLE, SINGLE, lex
 
-#: Files of which the labelled sample is made (parameter), size of the feature space, probability from which it counts.
-TRAIN_FILES, DIM, THRESHOLD = 6000, 1 << 14, 0.5
+#: Size of the feature space (buckets are stored in 16 bits), probability from which it counts.
+DIM, THRESHOLD = 1 << 14, 0.5
+#: Parts of the repositories for calibration, weight of the squared weights beside the mean loss.
+FOLDS, L2 = 5, 1e-6
+#: Labelled rows stored as one, tasks at most that send sums to the driver at once.
+PACK, TASKS = 4096, 32
+PACKED = {"fold": "int", "n": "int", "positive": "int", "y": "binary", "ptr": "binary", "idx": "binary", "val": "binary"}
 SHAPES = 40  # buckets below this number are shape features
 #: Characters of the line before and after a candidate whose identifiers are its surroundings; least length of a candidate.
 BEFORE, AFTER, LEAST = 80, 24, 4
@@ -226,44 +232,124 @@ def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": at[0], "b": at[1], "n": total[at]})
 
 
-def train(files: DataFrame, train_files: int = TRAIN_FILES) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(markov, weights, a, b) from a sample of about ``train_files`` files at most."""
-    sample = hash_sample(_wanted(files), "file_id", train_files)
-    counts = np.ones((ALPHABET, ALPHABET))
-    for r in sample.mapInPandas(bigrams, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most ALPHABET^2
-        counts[r.a, r.b] += r.n
-    markov = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+def labelled(markov: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows (fold, n, positive, y, ptr, idx, val) of up to ``PACK`` labelled candidates each, their sparse features as bytes."""
+
+    def pack(fold: int, parts: list[tuple[int, dict[int, float]]]) -> tuple:
+        y, rows = np.array([y for y, _ in parts], np.uint8), Rows.of([f for _, f in parts])
+        return fold, len(y), int(y.sum()), y.tobytes(), rows.ptr.astype(np.int32).tobytes(), rows.idx.astype(np.uint16).tobytes(), rows.val.tobytes()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for repo, path, content in zip(b["repo_id"], b["path"], b["content"]):
+        for batch in batches:
+            out, parts = [], [[] for _ in range(FOLDS)]
+            for fold, path, content in zip(batch["fold"], batch["path"], batch["content"]):
                 for s, e, kind, context in candidates(content, path or ""):
                     if (y := weak_label(content[s:e], kind, context)) is not None:
-                        f = features(content[s:e], kind, context, path or "", markov)
-                        out.append((0 if pd.isna(repo) else int(repo), y, list(f), list(f.values())))
-            yield pd.DataFrame(out, columns=["repo", "y", "f", "v"])
+                        parts[fold].append((y, features(content[s:e], kind, context, path or "", markov)))
+                        if len(parts[fold]) == PACK:
+                            out.append(pack(fold, parts[fold]))
+                            parts[fold] = []
+            out += [pack(k, p) for k, p in enumerate(parts) if p]
+            yield pd.DataFrame(out, columns=list(PACKED))
+
+    return rows
 
-    got = sample.mapInPandas(rows, "repo long, y int, f array<int>, v array<float>").toPandas()
-    y = got["y"].to_numpy(np.int64)
-    data = Rows.of([dict(zip(map(int, f), map(float, v))) for f, v in zip(got["f"], got["v"])])
-    held = (got["repo"].to_numpy() % 5 == 0) if len(got) else np.zeros(0, bool)
-    model = fit(data.take(np.nonzero(~held)[0]), y[~held], DIM, "log", epochs=10)
-    a, b = platt(model.scores(data.take(np.nonzero(held)[0]))[:, 0], y[held])
-    return markov, model.weights, max(a, 0.1), b
 
+def summed(packed: DataFrame, part: Callable[[int, Rows, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all packs of ``part`` of fold, rows and labels; each of at most ``TASKS`` tasks sends one array."""
 
-def find(files: DataFrame, train_files: int = TRAIN_FILES, redact: bool = False) -> DataFrame:
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            for fold, y, ptr, idx, val in zip(batch["fold"], batch["y"], batch["ptr"], batch["idx"], batch["val"]):
+                rows = Rows(np.frombuffer(ptr, np.int32).astype(np.int64), np.frombuffer(idx, np.uint16).astype(np.int64), np.frombuffer(val, np.float32))
+                got = part(fold, rows, np.frombuffer(y, np.uint8).astype(np.int64))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    tasks = min(TASKS, packed.sparkSession.sparkContext.defaultParallelism)
+    return sum(np.frombuffer(r.sums) for r in packed.coalesce(tasks).mapInPandas(sums, "sums binary").collect())
+
+
+def fitted(packed: DataFrame, totals: np.ndarray) -> np.ndarray:
+    """(DIM, FOLDS + 1): logistic regression without each fold, and with all. ``totals``: labels of 0 and 1 of each fold.
+
+    All models descend at once, so a step of all is one pass over the stored rows; a model of no rows stays 0.
+    """
+    n = np.append(totals.sum() - totals.sum(axis=1), totals.sum())
+    models = {k: descent(DIM) for k in range(FOLDS + 1) if n[k]}
+    w, at = np.zeros((DIM, FOLDS + 1)), {k: next(m) for k, m in models.items()}
+    while at:
+        ids, here = np.array(list(at)), np.stack(list(at.values()), axis=1)
+
+        def part(fold: int, rows: Rows, y: np.ndarray) -> np.ndarray:
+            out, of = np.zeros((1 + DIM, len(ids))), ids != fold
+            if of.any():
+                out[:, of] = log_sums(rows, y, here[:, of])
+            return out.ravel()
+
+        got = summed(packed, part).reshape(1 + DIM, len(ids))
+        for j, k in enumerate(ids.tolist()):
+            x = here[:, j]
+            try:
+                at[k] = models[k].send((got[0, j] / n[k] + L2 / 2 * (x @ x), got[1:, j] / n[k] + L2 * x))
+            except StopIteration as done:
+                w[:, k] = done.value
+                del at[k]
+    return w
+
+
+def calibrated(packed: DataFrame, w: np.ndarray, totals: np.ndarray) -> tuple[float, float]:
+    """(a, b) of the probability 1/(1+exp(-(a*s+b))), s being the score of each row by the model without its fold.
+
+    Folds without labels of both kinds outside don't count.
+    """
+    counts = (totals.sum(axis=0) - totals > 0).all(axis=1)
+    zeros, ones = totals[counts].sum(axis=0).tolist()
+    if not (zeros and ones):
+        return 1.0, 0.0
+    wanted = np.array([1 / (zeros + 2), (ones + 1) / (ones + 2)])
+
+    def sums(a: float, b: float) -> np.ndarray:
+        return summed(packed, lambda fold, rows, y: platt_sums(Linear(w[:, [fold]]).scores(rows)[:, 0], wanted[y], a, b) if counts[fold] else np.zeros(5))
+
+    return newton(sums, zeros + ones)
+
+
+def train(files: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(markov, weights, a, b) from all files.
+
+    The driver gets sums over the rows only. The labelled rows lie on the executors' disks until the models are fitted.
+    """
+    wanted = _wanted(files)
+    counts = np.ones((ALPHABET, ALPHABET))
+    for r in wanted.mapInPandas(bigrams, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most ALPHABET^2
+        counts[r.a, r.b] += r.n
+    markov = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    # A file without repository stands for itself.
+    folds = wanted.withColumn("fold", F.pmod(F.coalesce("repo_id", "file_id", F.lit(0)), F.lit(FOLDS)).cast("int"))
+    packed = folds.mapInPandas(labelled(markov), ", ".join(map(" ".join, PACKED.items()))).persist(StorageLevel.DISK_ONLY)
+    try:
+        totals = np.zeros((FOLDS, 2), np.int64)
+        for r in packed.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("positive").alias("p")).collect():
+            totals[r.fold] = r.n - r.p, r.p
+        w = fitted(packed, totals)
+        a, b = calibrated(packed, w, totals)
+    finally:
+        packed.unpersist()
+    return markov, w[:, [FOLDS]].astype(np.float32), max(a, 0.1), b
+
+
+def find(files: DataFrame, redact: bool = False) -> DataFrame:
     """(file_id, secret): each distinct secret of each Python file and of ``scripts.dev`` of each package.json.
 
     With ``redact`` instead (file_id, content), every secret's characters but line ends being asterisks, all rows of
     ``files`` of these kinds with content kept. Null contents give no secrets; ``redacted`` keeps them too. No shuffle: a file is one row.
     """
-    markov, weights, a, b = train(files, train_files)
+    markov, weights, a, b = train(files)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .linear import Linear
-
         model = Linear(weights)
         for batch in batches:
             spots, feats = [], []
@@ -284,9 +370,9 @@ def find(files: DataFrame, train_files: int = TRAIN_FILES, redact: bool = False)
     return _wanted(files).mapInPandas(scan, "file_id long, content string" if redact else "file_id long, secret string")
 
 
-def redacted(files: DataFrame, train_files: int = TRAIN_FILES) -> DataFrame:
+def redacted(files: DataFrame) -> DataFrame:
     """(file_id, content): every Python file and package.json with its secrets blanked, null contents as they are."""
-    return find(files, train_files, redact=True).union(_kinds(files.where("content is null")).select("file_id", "content"))
+    return find(files, redact=True).union(_kinds(files.where("content is null")).select("file_id", "content"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

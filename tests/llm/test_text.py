@@ -384,3 +384,50 @@ def test_ascii_never_changes(spark):
     assert p7_lookalike.classes(df.limit(0)).collect() == []
     same = df.select("text", p7_lookalike.same_look(F.col("text")).alias("f")).collect()
     assert all(r.f == (None if r.text is None else p7_lookalike.canonical(r.text)) for r in same)
+
+
+def test_secrets_are_learned_from_all_files(spark):
+    import numpy as np
+    import pandas as pd
+
+    from bytefold.llm.linear import log_sums
+
+    rows, _ = secret_files(60)
+    rows += [(1000 + i, i % 13, f"C/r{i % 13}/src/m{i}.py", f'mode_{i % 7} = load("{"abcdefg"[i % 7] * 5}_table.csv")\n') for i in range(6500)]
+    f = files(spark, rows)
+    markov, weights, a, b = p2_secrets.train(f)
+    size = p2_secrets.ALPHABET
+    pairs = next(p2_secrets.bigrams(iter([pd.DataFrame({"content": [c for *_, c in rows]})])))
+    counts = np.ones((size, size))
+    counts[pairs["a"], pairs["b"]] += pairs["n"]
+    assert np.array_equal(markov, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    found = [(p2_secrets.weak_label(c[s:e], kind, context), p2_secrets.features(c[s:e], kind, context, path, markov)) for _, _, path, c in rows for s, e, kind, context in p2_secrets.candidates(c, path)]
+    y, x = np.array([k for k, _ in found if k is not None]), Rows.of([v for k, v in found if k is not None])
+    assert len(y) > 6500
+    # At the least loss over all labelled rows the gradient vanishes.
+    slope = lambda w: np.linalg.norm(log_sums(x, y, w)[1:] / len(y) + p2_secrets.L2 * w)
+    assert slope(weights.astype(float)) <= 1e-4 * slope(np.zeros_like(weights, float))
+    again = p2_secrets.train(f.repartition(7, F.xxhash64("path")))  # the same wherever the rows lie
+    assert np.array_equal(again[0], markov) and np.allclose(again[1], weights, atol=1e-3) and np.allclose(again[2:], (a, b), atol=1e-3)
+
+
+def test_secrets_without_repositories_and_of_one(spark):
+    rows, truth = secret_files(120)
+    for repo in (None, 4):
+        got = {(r.file_id, r.secret) for r in p2_secrets.find(files(spark, [(i, repo, p, c) for i, _, p, c in rows])).collect()}
+        assert len(got & truth) >= 0.97 * len(truth) and len(got - truth) <= 0.03 * len(truth)
+    plain = files(spark, [(1, 1, "C/a/x.py", 'a = open("some_table.csv")\n'), (2, 1, "C/a/y.py", "b = 2\n")])
+    assert p2_secrets.find(plain).collect() == []
+
+
+def test_calibration_from_sums():
+    import numpy as np
+
+    from bytefold.llm.linear import newton, platt_sums
+
+    rng = np.random.default_rng(4)
+    s = rng.normal(size=4000) * 3
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.7 * s - 1)))).astype(np.int64)
+    wanted = np.array([1 / ((1 - y).sum() + 2), (y.sum() + 1) / (y.sum() + 2)])
+    got = newton(lambda a, b: sum(platt_sums(s[k], wanted[y[k]], a, b) for k in np.array_split(np.arange(4000), 7)), 4000)
+    assert np.allclose(got, platt(s, y), atol=1e-4)
