@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,8 @@ HARMLESS = re.compile(r"(?i)commit|sha\d|etag|hash|digest|checksum|run_id|uuid|i
 IDENTIFIER = re.compile(r"[A-Za-z_][\w.]*(\(.*)?$")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 ALPHABET = 96
+#: Code of each byte in the counts of pairs.
+CODES = np.clip(np.arange(256) - 32, 0, ALPHABET - 1)
 
 
 def dev_script(content: str) -> tuple[int, int] | None:
@@ -165,7 +168,6 @@ def weak_label(secret: str, kind: str, context: str) -> int | None:
     if kind == "pem" or PROVIDER.search(secret):
         return 1
     near = before[-64:]
-    wanted, harmless = bool(WANTED.search(near)), bool(HARMLESS.search(near))
     mixed = bool(re.search(r"\d", secret) and re.search(r"[A-Za-z]", secret)) or len(re.findall(r"[a-z][A-Z]", secret)) > 3
     if kind in ("url", "scheme", "netrc", "option", "env"):
         return 1 if mixed and len(secret) >= 7 else None if mixed or re.search("[a-z][A-Z]", secret) else 0
@@ -175,20 +177,31 @@ def weak_label(secret: str, kind: str, context: str) -> int | None:
         return 1  # a line of settings inside a text
     if kind == "assigned":
         return 0 if IDENTIFIER.match(secret) and not re.search(r"\d{2}", secret) or not mixed else None
-    if harmless or not mixed or "://" in secret or secret.startswith("/") or ";base64," in secret or secret.startswith("\\u") or "/" in secret and re.search(r"\?\w+=", secret[secret.find("/") :]):
+    if not mixed or "://" in secret or secret.startswith("/") or ";base64," in secret or secret.startswith("\\u") or "/" in secret and re.search(r"\?\w+=", secret[secret.find("/") :]) or HARMLESS.search(near):
         return 0
-    if wanted:
+    if WANTED.search(near):
         return 1 if len(secret) >= 8 else None
     return 0 if re.fullmatch(r"[a-z_]+(?:\.[a-z_]*)?|[a-z0-9_]+\.\w{2,4}", secret) or "/" in secret and re.fullmatch(r"[\w./#?=-]*", secret) else None
 
 
+@lru_cache(1 << 14)
+def place(text: str) -> int:
+    """Bucket of a feature that is no shape."""
+    return SHAPES + bucket(text, DIM - SHAPES)
+
+
+@lru_cache(1 << 10)
+def folders(path: str) -> list[int]:
+    return [place("p:" + p) for p in path.split("/")[2:-1]]
+
+
 def features(secret: str, kind: str, context: str, path: str, markov: np.ndarray) -> dict[int, float]:
-    codes = np.clip(np.frombuffer(secret.encode("utf-8"), np.uint8).astype(np.int64) - 32, 0, ALPHABET - 1)
-    like = float(markov[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else -5.0
+    codes = CODES[np.frombuffer(secret.encode("utf-8"), np.uint8)]
+    like = float(np.add.reduce(markov[codes[:-1], codes[1:]]) / (len(codes) - 1)) if len(codes) > 1 else -5.0
     n = len(secret)
     digits, uppers, lowers = (sum(map(f, secret)) / n for f in (str.isdigit, str.isupper, str.islower))
     # Shapes are yes/no or binned, so no scale has to be learned.
-    out = {1 + int(np.clip(-like * 2, 0, 11)): 1.0, 13 + min(n // 6, 8): 1.0}
+    out = {1 + int(min(max(-like * 2, 0), 11)): 1.0, 13 + min(n // 6, 8): 1.0}
     flags = (digits > 0, digits > 0.3, uppers > 0, lowers == 1, digits + lowers + uppers < 1, bool(re.fullmatch(r"[0-9a-f]{16,}", secret)), bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", secret)), " " in secret, secret.count(" ") > 2, bool(IDENTIFIER.fullmatch(secret)) and digits < 0.2, "/" in secret, not secret.isascii(), len(set(secret)) < 5, "?" in secret and "=" in secret, "\\u" in secret, bool(re.search(r"[{}<>$]", secret)))
     out |= {23 + i: 1.0 for i, f in enumerate(flags) if f}
     for p in PARTS.findall(secret):  # the words inside, each by its share of the whole
@@ -196,7 +209,7 @@ def features(secret: str, kind: str, context: str, path: str, markov: np.ndarray
             at = SHAPES + bucket("w:" + p.lower(), DIM - SHAPES)
             out[at] = out.get(at, 0.0) + len(p) / n
     before, _, after = context.partition("\0")
-    add = lambda s: out.__setitem__(SHAPES + bucket(s, DIM - SHAPES), 1.0)
+    add = lambda s: out.__setitem__(place(s), 1.0)
     add("k:" + kind)
     ids = [p.lower() for p in PARTS.findall(before)][-8:]
     for p in ids:
@@ -208,8 +221,7 @@ def features(secret: str, kind: str, context: str, path: str, markov: np.ndarray
     digit = "d" if digits else "-"
     for p in ids[-3:]:
         add(f"x:{digit}{p}")
-    for p in path.split("/")[2:-1]:
-        add("p:" + p)
+    out |= dict.fromkeys(folders(path), 1.0)
     return out
 
 
