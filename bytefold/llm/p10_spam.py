@@ -13,7 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,47 +38,90 @@ EVERY = "*"  # the group of all documents
 SPAN = 24  # words of a span by which copies are known, 16 + 8
 
 CJK = "぀-ヿ㐀-鿿豈-﫿"
-WORD = re.compile(rf"[{CJK}]|[^\W_{CJK}]+")
-ASCII_WORD = re.compile("[a-z0-9]+")
+SIGN = re.compile(f"[{CJK}]")
+WORD = re.compile(rf"[^\W_{CJK}]+|[{CJK}]")
+SIGNLESS_WORD = re.compile(r"[^\W_]+")
+#: Lower case of ASCII, with a blank for what is in no word.
+ASCII = "".join(c.lower() if c.isalnum() else " " for c in map(chr, range(128)))
 SEGMENT = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？](?![\s\"”')\]])[^\n.!?。！？]*)*[.!?。！？]*[ \t]*\n?")
 LINK = re.compile(r"https?://|www\.\w|<a\s+href|\]\(")
 HASHTAG = re.compile(r"#[^\s#]+")
 PRICE = re.compile(r"(?:[$€£¥]|\b(?:EUR|USD|GBP|RUB))\s?\d|\d\s?(?:€|£|\$|EUR\b|USD\b|руб|元|円)")
-CODE_LINE = re.compile(r"[;{}]\s*$|:\s*$|^\s*(?:import|from|def|class|return|const|let|var|function|export|if|for|while|else|public|private|static|package|namespace|#include|@|\}|\)|//|/\*|\*|# )\b|^\s*[\w.\[\]]+ [+\-*/]?= |^\s*[\w.]+\(.*\)\s*$|=>")
+#: Strings of which a link or a price holds at least one; looking for them costs a fraction of the pattern.
+LINK_SIGNS = ("://", "www.", "<a", "](")
+PRICE_SIGNS = ("$", "€", "£", "¥", "EUR", "USD", "GBP", "RUB", "руб", "元", "円")
+CODE_START = re.compile(r"\s*(?:(?:import|from|def|class|return|const|let|var|function|export|if|for|while|else|public|private|static|package|namespace|#include|@|\}|\)|//|/\*|\*|# )\b|[\w.\[\]]+ [+\-*/]?= |[\w.]+\(.*\)\s*$)")
+CODE_ENDS = (";", "{", "}", ":")
+
+
+def has_link(text: str) -> bool:
+    return any(map(text.__contains__, LINK_SIGNS)) and LINK.search(text) is not None
+
+
+def has_price(text: str) -> bool:
+    return any(map(text.__contains__, PRICE_SIGNS)) and PRICE.search(text) is not None
+
+
+def is_code(line: str) -> bool:
+    return line.rstrip().endswith(CODE_ENDS) or "=>" in line or CODE_START.match(line) is not None
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words, each sign of Chinese and Japanese being one; plain ASCII has a cheaper pattern for the same."""
+    """Lower-case words, each sign of Chinese and Japanese being one; texts without signs have cheaper ways to the same."""
+    if text.isascii():
+        return text.translate(ASCII).split()
     low = text.lower()
-    return (ASCII_WORD if low.isascii() else WORD).findall(low)
+    return (WORD if SIGN.search(low) else SIGNLESS_WORD).findall(low)
 
 
 class Hashes(dict):
-    """Hashes of words, kept while there are not too many."""
+    """Hashes of words as 8 bytes, kept while there are not too many."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > 1 << 18:
             self.clear()
-        self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass")).to_bytes(8, "little")
         return h
 
 
 HASHES = Hashes()
 STEP = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8, 16)]
-
-
-def sketch(words: list[str]) -> int:
-    """Least hash of the spans of SPAN words: equal for equal texts and, but by chance, for slightly extended ones."""
-    x = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    if len(x) < SPAN:
-        x = np.concatenate([x + np.uint64(1), np.zeros(SPAN - len(x), np.uint64)])
+BLOCK = 1 << 16  # words from which the texts at hand are sketched together
+
+
+def sketches(found: list[list[str]]) -> list[int]:
+    """Least hash of the spans of SPAN words of each text: equal for equal texts and, but by chance, for slightly extended ones."""
+    if not found:
+        return []
+    parts = [b"".join(map(HASHES.__getitem__, words)) for words in found]
+    for i, p in enumerate(parts):
+        if len(p) < 8 * SPAN:
+            parts[i] = (np.frombuffer(p, "<u8") + np.uint64(1)).tobytes() + bytes(8 * SPAN - len(p)) if p else bytes(8 * SPAN)
+    x = np.frombuffer(b"".join(parts), "<u8")
     for k, step in enumerate(STEP[:4]):  # spans of 2, 4, 8 and 16 words
         eight = x
         x = x[: -(1 << k)] * step + x[1 << k :]
     x = x[:-8] * STEP[4] + eight[16:]
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return int((x ^ (x >> np.uint64(32))).min() >> np.uint64(1))
+    x ^= x >> np.uint64(32)
+    end = np.cumsum([len(p) // 8 for p in parts])
+    # A text's spans begin from its first word to the last but 23; those between begin in one text and end in another.
+    bounds = np.stack([np.concatenate([[0], end[:-1]]), end - SPAN + 1], axis=1).ravel()
+    return (np.minimum.reduceat(x, bounds[:-1])[::2] >> np.uint64(1)).tolist()
+
+
+def sketched(texts: Iterable[str]) -> Iterator[tuple[list[str], int]]:
+    """(words, sketch) of each text, in order."""
+    held: list[list[str]] = []
+    size = 0
+    for text in texts:
+        held.append(words := words_of(text))
+        size += len(words)
+        if size >= BLOCK:
+            yield from zip(held, sketches(held))
+            held, size = [], 0
+    yield from zip(held, sketches(held))
 
 
 def function_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[str, ...]]:
@@ -93,9 +136,8 @@ def function_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> d
         seen: set[tuple[str, int]] = set()
         for b in batches:
             rows = []
-            for l, t in zip(b["l"], b["t"]):
-                ws = words_of(t)
-                if (at := (l, sketch(ws))) not in seen:
+            for l, (ws, k) in zip(b["l"], sketched(b["t"])):
+                if (at := (l, k)) not in seen:
                     seen.add(at)
                     rows.append((*at, " ".join(sorted(set(ws)))))
             if len(seen) > 1 << 17:
@@ -151,9 +193,9 @@ class Known:
 N_LOG_N = [0.0, *(n * math.log(n) for n in range(1, 1 << 12))]
 
 
-def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float], int]:
-    """(language by function words, features, sketch) of a document."""
-    counts = Counter(found := words_of(text))
+def measure(text: str, lang: str | None, known: Known, found: list[str] | None = None) -> tuple[str, list[float]]:
+    """(language by function words, features) of a document. found: its words, if they are at hand."""
+    counts = Counter(words_of(text) if found is None else found)
     total = sum(counts.values())
     by_set = [0] * len(known.sets)
     for w in counts.keys() & known.set_of.keys():
@@ -174,18 +216,18 @@ def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float]
     code = False
     if function < PLAIN:
         lines = [x for x in text.split("\n") if x.strip()]
-        if code := len(lines) > 3 and sum(bool(CODE_LINE.search(x)) for x in lines) >= 0.4 * len(lines) and sum(bool(LINK.search(x)) for x in lines) < 0.5 * len(lines):
+        if code := len(lines) > 3 and sum(map(is_code, lines)) >= 0.4 * len(lines) and sum(map(has_link, lines)) < 0.5 * len(lines):
             group, function = "code", codes / max(1, total)
     natural = known.words.get(group, set())
     key = {w for w, n in counts.items() if n >= KEY_USES and w not in natural and (len(w) > 2 or not w.isascii()) and not w.isdigit()}
-    if key or "#" in text or LINK.search(text) or PRICE.search(text):  # else no segment is material
+    if key or "#" in text or has_link(text) or has_price(text):  # else no segment is material
         natural = counts.keys() & natural
         size = 0
         for s in SEGMENT.findall(text):
             if not (n := len(s.strip())):
                 continue
             size += n
-            if LINK.search(s):
+            if has_link(s):
                 share["link"] += n
             elif code:
                 continue
@@ -194,12 +236,12 @@ def measure(text: str, lang: str | None, known: Known) -> tuple[str, list[float]
             else:
                 ws = words_of(s)
                 if sum(w in natural for w in ws) < SENTENCE * max(1, len(ws)):
-                    if PRICE.search(s):
+                    if has_price(s):
                         share["price"] += n
                     elif any(w in key for w in ws):
                         share["phrase"] += n
         share = {k: v / max(1, size) for k, v in share.items()}
-    return group, [*share.values(), entropy, 1 - len(counts) / max(1, total), function, punctuation], sketch(found)
+    return group, [*share.values(), entropy, 1 - len(counts) / max(1, total), function, punctuation]
 
 
 def form(x: Column, y: Column) -> Column:
@@ -219,7 +261,7 @@ def spam(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *measure(t, l, known)) for i, t, l in zip(b["key"], b["text"], b["lang"])]
+            rows = [(i, *measure(t, l, known, ws), k) for i, t, l, (ws, k) in zip(b["key"], b["text"], b["lang"], sketched(b["text"]))]
             yield pd.DataFrame({"key": [r[0] for r in rows], "grp": [r[1] for r in rows], "k": [r[3] for r in rows]} | {n: [r[2][k] for r in rows] for k, n in enumerate(names)})
 
     kind = docs.schema[key].dataType.simpleString()

@@ -254,6 +254,34 @@ def test_spam_of_long_words():
     assert sum(p10_spam.measure(page, "en", known)[1][:4]) > 0.5
 
 
+def test_spam_patterns_run_where_their_signs_are(monkeypatch):
+    seen = []
+
+    class Watched:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def search(self, text):
+            seen.append(text)
+            return self.pattern.search(text)
+
+    for name in ("LINK", "PRICE"):
+        monkeypatch.setattr(p10_spam, name, Watched(getattr(p10_spam, name)))
+    known = p10_spam.Known({w: ("en",) for w in "the of a and to".split()})
+    p10_spam.measure("the price of a lamp\n" * 40, "en", known)
+    assert seen == []
+    for text, feature in (("buy a lamp at www.lamps.example", 0), ("see [lamps](lamps)", 0), ("lamp now 5 руб", 2), ("lamp now EUR 5", 2)):
+        assert p10_spam.measure(text, "en", known)[1][feature] == 1
+
+
+@given(st.lists(st.text(alphabet="aB1_ .\né\u212aя日の", max_size=200), max_size=5))
+def test_words_and_sketches_of_many_texts(texts):
+    many = texts + [" ".join(f"w{k}" for k in range(n)) for n in (0, 1, 23, 24, 25, 300)]
+    got = list(p10_spam.sketched(many))
+    assert [w for w, _ in got] == [p10_spam.WORD.findall(t.lower()) for t in many]
+    assert [k for _, k in got] == [p10_spam.sketches([w])[0] for w, _ in got]  # alone as among others
+
+
 def test_vendored_copies(spark):
     rows, _ = js(200)
     own = "export function lamuro(dike) {\n  return dike.sotu(31) + mefi.lora(dike, 7);\n}"
